@@ -8,12 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import read_table
 from .decontaminate import contamination
+from .media import media_features, store_media
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("items", "runs")
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_features(store_media(read_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_media": op2_media,
 }
