@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..runtime import read_table
 from .decontaminate import contamination
 from .media import media_features, store_media
+from .packing import pack
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +20,12 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(store_media(read_table(spark, sf_dir, "documents")))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_media": op2_media,
+    "op3_packing": op3_packing,
 }
