@@ -10,6 +10,7 @@ from ..runtime import read_table
 from .decontaminate import contamination
 from .media import media_features, store_media
 from .packing import pack
+from .secrets import scan_secrets
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,8 +25,13 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_media": op2_media,
     "op3_packing": op3_packing,
+    "op6_secrets": op6_secrets,
 }
