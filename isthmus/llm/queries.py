@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import read_table
 from .decontaminate import contamination
+from .jaccard import jaccard_join
 from .media import media_features, store_media
 from .packing import pack
 from .secrets import scan_secrets
@@ -29,9 +30,14 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read_table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_media": op2_media,
     "op3_packing": op3_packing,
     "op6_secrets": op6_secrets,
+    "op8_jaccard": op8_jaccard,
 }
