@@ -11,6 +11,7 @@ from .decontaminate import contamination
 from .jaccard import jaccard_join
 from .media import media_features, store_media
 from .packing import pack
+from .repeats import repeats_report
 from .secrets import scan_secrets
 
 
@@ -30,6 +31,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read_table(spark, sf_dir, "documents"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats_report(read_table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(read_table(spark, sf_dir, "documents"))
 
@@ -39,5 +44,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media": op2_media,
     "op3_packing": op3_packing,
     "op6_secrets": op6_secrets,
+    "op7_repeats": op7_repeats,
     "op8_jaccard": op8_jaccard,
 }
