@@ -12,11 +12,13 @@ lengths are placed in order of (doc_id, piece, checksum), null ids last; an empt
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -24,9 +26,11 @@ from .text import arrow_schema, pieces
 
 TOKENIZERS_DIR = "/opt/tokenizers"
 
-#: By tokenizer path: (tokenizer, ids of short chunks as bytes). Kept while the worker lives; only a cache.
-_LOADED: dict[str, tuple] = {}
-CACHE_ENTRIES, CACHE_CHARS = 300_000, 64
+#: Chunks of these characters (no white space, NFC as they stand, lower case of one character) can be split apart here; others go to the tokenizer.
+PLAIN = regex.compile("[!-~\xa1-\xac\xae-\u012f\u0131-\u017f]+")
+#: Fixed value: how this tokenizer splits a lower-cased text into words.
+WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+CACHE_ENTRIES, CACHE_CHARS = 400_000, 64
 
 
 def tokenizer_path(name: str) -> str:
@@ -39,28 +43,67 @@ def tokenizer_path(name: str) -> str:
         return os.path.join(TOKENIZERS_DIR, name)
 
 
-def chunk_ids(path: str, texts: list[str]) -> Iterator[bytes]:
-    """Little-endian 32-bit ids of each text. Chunks between spaces are encoded apart and remembered: this tokenizer drops white space and never joins across it."""
-    if path not in _LOADED:
+def _byte_letters() -> dict[int, str]:
+    """Letter of each byte in byte-level vocabularies: printable bytes stand for themselves, the others for letters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+class ChunkEncoder:
+    """Little-endian 32-bit ids of texts, by chunks between spaces and by words within; both are remembered.
+
+    Exact for this tokenizer: it drops white space and never joins across it, folds case and encodes each word alone.
+    The memory is only a cache, emptied when it is full, and long chunks aren't kept.
+    """
+
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _LOADED[path] = (Tokenizer.from_file(path), {})
-    model, known = _LOADED[path]
-    lists = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-    new = list({c for chunks in lists for c in chunks if c not in known})
-    if len(known) + len(new) > CACHE_ENTRIES:
-        known.clear()
-        new = list({c for chunks in lists for c in chunks})
-    encode = getattr(model, "encode_batch_fast", model.encode_batch)
-    for at in range(0, len(new), 4096):
-        part = new[at : at + 4096]
-        known.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(part, encode(part, add_special_tokens=False), strict=True))
-    for chunks in lists:
-        yield b"".join([known[c] for c in chunks])
-    for c in new:
-        if len(c) > CACHE_CHARS:
-            del known[c]
+        self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
+        self.letters = _byte_letters()
+        self.code = [struct.pack("<I", i) for i in range(self.whole.get_vocab_size())]
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _word(self, word: str) -> bytes:
+        if (ids := self.words.get(word)) is None:
+            spelt = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            ids = b"".join([self.code[t.id] for t in self.model.tokenize(spelt)])
+            if len(word) <= CACHE_CHARS:
+                self.words[word] = ids
+        return ids
+
+    def _chunk(self, chunk: str) -> bytes:
+        if PLAIN.fullmatch(chunk) and "<|" not in chunk:
+            return b"".join([self._word(w) for w in WORDS.findall(chunk.lower())])
+        return np.array(self.whole.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def ids(self, text: str) -> bytes:
+        if len(self.chunks) > CACHE_ENTRIES:
+            self.chunks.clear()
+        if len(self.words) > CACHE_ENTRIES:
+            self.words.clear()
+        known, out = self.chunks, []
+        for c in text.replace("\n", " ").replace("\t", " ").split(" "):
+            if (ids := known.get(c)) is None:
+                ids = self._chunk(c)
+                if len(c) <= CACHE_CHARS:
+                    known[c] = ids
+            out.append(ids)
+        return b"".join(out)
+
+
+_LOADED: dict[str, ChunkEncoder] = {}
+
+
+def encoder(path: str) -> ChunkEncoder:
+    """This worker's encoder."""
+    if path not in _LOADED:
+        _LOADED[path] = ChunkEncoder(path)
+    return _LOADED[path]
 
 
 def token_pieces(docs: DataFrame, path: str, most: int, groups: int, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -69,12 +112,13 @@ def token_pieces(docs: DataFrame, path: str, most: int, groups: int, end_id: int
     out, end = arrow_schema(schema), np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(path).ids
         turn = TaskContext.get().partitionId() * 7919
         for batch in batches:
             for part in pieces(batch):
                 rows = []
-                for doc, ids in zip(part.column(0).to_pylist(), chunk_ids(path, [t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    ids += end
+                for doc, body in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    ids = encode(body or "") + end
                     for k, at in enumerate(range(0, len(ids), 4 * most)):
                         body = ids[at : at + 4 * most]
                         rows.append((doc, k, at // 4, len(body) // 4, zlib.crc32(body), turn % groups))
