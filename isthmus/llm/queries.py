@@ -11,8 +11,10 @@ from .decontaminate import contamination
 from .jaccard import jaccard_join
 from .media import media_features, store_media
 from .packing import pack
+from .quality import fit_quality, score_quality
 from .repeats import repeats_report
 from .secrets import scan_secrets
+from .toxicity import fit_toxicity, score_toxicity
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +29,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read_table(spark, sf_dir, "documents"))
 
@@ -39,11 +46,18 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(read_table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, read_table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_media": op2_media,
     "op3_packing": op3_packing,
+    "op5_quality": op5_quality,
     "op6_secrets": op6_secrets,
     "op7_repeats": op7_repeats,
     "op8_jaccard": op8_jaccard,
+    "op9_toxicity": op9_toxicity,
 }

@@ -1,7 +1,7 @@
 """Substring deduplication by sliding sentence spans.
 
-A text is cut into sentences (at . ! ? and line ends; a sentence of more than `longest` words into pieces of that many),
-normalised to lower-case words. A run is the shortest one of at least `sentences` sentences and `words` words that begins
+A text is cut into sentences (at . ! ? and line ends) of lower-case words; a sentence of more than `longest` words is cut
+after every word whose hash is a multiple of 8, so that a passage is cut alike wherever it begins. A run is the shortest one of at least `sentences` sentences and `words` words that begins
 at a sentence, or that ends at one; so every sentence of a repeated passage that is long enough lies in a run inside it.
 Runs are hashed to 128 bits and joined globally. The first run of a hash is that with the smallest (doc_id, text hash,
 position); sentences covered by any other are removed.
@@ -17,6 +17,7 @@ rows; other columns pass through `remove_repeats` unread.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -43,12 +44,17 @@ def sentences_of(text: str, longest: int) -> tuple[list[int], list[int], list[in
             starts.append(m.start()), ends.append(m.end()), counts.append(len(words))
             hashes.append(xxhash.xxh3_64_digest(b" ".join(words)))
         else:
-            at = [w.start() for w in WORD.finditer(text, m.start(), m.end())][::longest]
-            at[0] = m.start()
-            for k, (lo, hi) in enumerate(zip(at, [*at[1:], m.end()], strict=True)):
-                part = words[k * longest : (k + 1) * longest]
-                starts.append(lo), ends.append(hi), counts.append(len(part))
-                hashes.append(xxhash.xxh3_64_digest(b" ".join(part)))
+            places = [w.start() for w in WORD.finditer(text, m.start(), m.end())]
+            places[0] = m.start()
+            cuts, since = [0], 0
+            for k, w in enumerate(words[:-1], 1):
+                since += 1
+                if zlib.crc32(w) % 8 == 0 or since == 2 * longest:
+                    cuts.append(k)
+                    since = 0
+            for lo, hi in zip(cuts, [*cuts[1:], len(words)], strict=True):
+                starts.append(places[lo]), ends.append(places[hi] if hi < len(words) else m.end()), counts.append(hi - lo)
+                hashes.append(xxhash.xxh3_64_digest(b" ".join(words[lo:hi])))
     return starts, ends, counts, b"".join(hashes)
 
 
