@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..runtime import read_table
 from .decontaminate import contamination
 from .jaccard import jaccard_join
+from .licenses import scan_licenses
 from .media import media_features, store_media
 from .packing import pack
 from .quality import fit_quality, score_quality
@@ -29,6 +30,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return score_quality(docs, fit_quality(docs))
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_media": op2_media,
     "op3_packing": op3_packing,
+    "op4_licenses": op4_licenses,
     "op5_quality": op5_quality,
     "op6_secrets": op6_secrets,
     "op7_repeats": op7_repeats,

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..runtime import cut_lineage
 from .text import arrow_schema, fold_words, per_batch, pieces
 
-BUCKETS, GRADES = 1 << 18, 3
+BUCKETS, GRADES = 1 << 20, 3
 
 
 def buckets(words: list[bytes]) -> list[int]:
