@@ -13,6 +13,7 @@ from .licenses import scan_licenses
 from .media import media_features, store_media
 from .packing import pack
 from .quality import fit_quality, score_quality
+from .quotes import link_quotes
 from .repeats import repeats_report
 from .secrets import scan_secrets
 from .toxicity import fit_toxicity, score_toxicity
@@ -56,6 +57,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, fit_toxicity(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op10_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_quotes(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_media": op2_media,
@@ -66,4 +71,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_repeats": op7_repeats,
     "op8_jaccard": op8_jaccard,
     "op9_toxicity": op9_toxicity,
+    "op10_quotes": op10_quotes,
 }
