@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators.components import star_forest
 from ..runtime import cut_lineage
@@ -193,10 +194,10 @@ def _pairs(group: np.ndarray, crossed: np.ndarray, own: np.ndarray, most: int =
 
 
 def text_classes(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, classes): doc_id and digest of each row, and for each digest its node, rep (an id), copies, sig and bands."""
+    """(rows, classes): doc_id, text hash and digest of each row, and for each digest its node, rep (an id), rep_th (and its text's hash), copies, sig and bands."""
 
-    def sign(ids: list, texts: list) -> dict:
-        out: dict = {"doc_id": ids, "cid": [], "sig": [], "bands": []}
+    def sign(ids: list, ths: list, texts: list) -> dict:
+        out: dict = {"doc_id": ids, "th": ths, "cid": [], "sig": [], "bands": []}
         for t in texts:
             grams = gram_set(t)
             if not len(grams):
@@ -208,10 +209,10 @@ def text_classes(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, Da
             out["bands"].append([xxhash.xxh3_64_intdigest(h[ROWS * k : ROWS * (k + 1)].tobytes(), k) - (1 << 63) for k in range(BANDS)])
         return out
 
-    rows = cut_lineage(per_batch(docs, [doc_id, text], sign, "doc_id long, cid binary, sig binary, bands array<long>").withColumn("uid", F.monotonically_increasing_id()))
-    classes = rows.where("cid IS NOT NULL").groupBy("cid").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("r"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    classes = cut_lineage(classes.select("cid", F.col("r.uid").alias("node"), F.col("r.doc_id").alias("rep"), "copies", "sig", "bands"))
-    return rows.select("doc_id", "cid"), classes
+    rows = cut_lineage(per_batch(docs, [doc_id, F.xxhash64(text).alias("__th"), text], sign, "doc_id long, th long, cid binary, sig binary, bands array<long>").withColumn("uid", F.monotonically_increasing_id()))
+    classes = rows.where("cid IS NOT NULL").groupBy("cid").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th", "uid")).alias("r"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = cut_lineage(classes.select("cid", F.col("r.uid").alias("node"), F.col("r.doc_id").alias("rep"), F.col("r.th").alias("rep_th"), "copies", "sig", "bands"))
+    return rows.select("doc_id", "th", "cid"), classes
 
 
 def candidate_clusters(classes: DataFrame, threshold: float, tolerance: float, block: int) -> DataFrame:
@@ -302,20 +303,39 @@ def similar(one: np.ndarray, others: list[np.ndarray], threshold: float) -> np.n
     return common >= threshold * (len(one) + sizes - common) - 1e-9
 
 
-def jaccard_join(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-5, block: int = 256, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document: doc_id, class_id (smallest id that it is linked with, over any number of links), n_links (documents of at least that similarity), n_class."""
+def _joined(docs: DataFrame, threshold: float, tolerance: float, block: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, named): named has cid, n_links, n_class, and class_id and class_th of the row that stands for its group."""
     rows, classes = text_classes(docs, doc_id, text)
     clusters = candidate_clusters(classes, threshold, tolerance, block)
     found = cut_lineage(verified_links(docs, classes, clusters, threshold, tolerance, block, doc_id, text))
     groups = star_forest(found.where("peer IS NOT NULL"), "node", "peer")
     sums = found.where("peer IS NULL").groupBy("node").agg(F.sum("links").alias("links"))
     named = (
-        classes.select("cid", "node", "rep", "copies")
+        classes.select("cid", "node", "rep", "rep_th", "copies")
         .join(sums, "node", "left")
         .join(groups.withColumnRenamed("id", "node"), "node", "left")
-        .select("cid", "rep", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"))
+        .select("cid", "rep", "rep_th", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"))
     )
-    ids = named.groupBy("component").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("n_class"))
-    return rows.join(named.join(ids, "component").select("cid", "class_id", "n_links", "n_class"), "cid", "left").select(
+    first = F.min(F.struct(F.col("rep").isNull(), "rep", "rep_th"))
+    ids = named.groupBy("component").agg(first["rep"].alias("class_id"), first["rep_th"].alias("class_th"), F.sum("copies").alias("n_class"))
+    return rows, named.join(ids, "component").select("cid", "class_id", "class_th", "n_links", "n_class")
+
+
+def jaccard_join(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-5, block: int = 256, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each document: doc_id, class_id (smallest id that it is linked with, over any number of links), n_links (documents of at least that similarity), n_class."""
+    rows, named = _joined(docs, threshold, tolerance, block, doc_id, text)
+    return rows.join(named, "cid", "left").select(
         "doc_id", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_class", F.lit(1)).alias("n_class")
     )
+
+
+def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-5, block: int = 256, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents with one row of each class, that of the smallest id (then text hash); texts without words all stay. All columns stay."""
+    rows, named = _joined(docs, threshold, tolerance, block, doc_id, text)
+    kept = named.select(F.col("class_id").alias("__id"), F.col("class_th").alias("__th"), F.lit(True).alias("__one")).distinct()
+    kept = kept.union(rows.where("cid IS NULL").select("doc_id", "th", F.lit(False)).distinct())
+    own = docs.withColumn("__own_th", F.xxhash64(text)).alias("d")
+    both = own.join(kept.alias("k"), F.col(f"d.`{doc_id}`").cast("long").eqNullSafe(F.col("k.__id")) & (F.col("d.__own_th") == F.col("k.__th")))
+    # rows repeated with one id and text: the first of them stays
+    turn = F.row_number().over(Window.partitionBy("__id", "__th").orderBy(F.lit(0)))
+    return both.withColumn("__turn", turn).where("__turn = 1 OR NOT __one").select(*(f"d.`{c}`" for c in docs.columns))

@@ -20,7 +20,7 @@ def fold_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(FOLD).split() if text else []
 
 
-def per_batch(df: DataFrame, columns: list[str], fn: Callable[..., dict], schema: str) -> DataFrame:
+def per_batch(df: DataFrame, columns: list, fn: Callable[..., dict], schema: str) -> DataFrame:
     """Map Arrow batches: fn gets one Python list per column and returns a dict of columns for the schema.
 
     A batch is cut into pieces of about 8 MB of text so that a few very long texts don't add up.
