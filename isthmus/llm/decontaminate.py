@@ -225,7 +225,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_run:
     while name in docs.columns:
         name += "_"
     body = F.col(f"{name}.body")
-    made = docs.withColumn(name, cleaned(column)).where(F.col(f"{name}.keep"))
+    # not deterministic for the optimiser, which would else run it once more for the filter
+    made = docs.withColumn(name, cleaned.asNondeterministic()(column)).where(F.col(f"{name}.keep"))
     size = {"n_chars": F.when(body.eqNullSafe(column), F.col("n_chars")).otherwise(F.length(body).cast(dict(docs.dtypes)["n_chars"]))} if "n_chars" in docs.columns else {}
     return made.withColumns({**size, text: body}).select(*(f"`{c}`" for c in docs.columns))
 

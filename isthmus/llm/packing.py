@@ -30,7 +30,7 @@ TOKENIZERS_DIR = "/opt/tokenizers"
 PLAIN = regex.compile("[!-~\xa1-\xac\xae-\u012f\u0131-\u017f]+")
 #: Fixed value: how this tokenizer splits a lower-cased text into words.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 64
+CACHE_ENTRIES, CACHE_CHARS = 250_000, 64
 
 
 def tokenizer_path(name: str) -> str:
@@ -81,6 +81,11 @@ class ChunkEncoder:
             return b"".join([self._word(w) for w in WORDS.findall(chunk.lower())])
         return np.array(self.whole.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def forget(self) -> None:
+        """Empty the memory, so that an idle worker holds none."""
+        self.chunks.clear()
+        self.words.clear()
+
     def ids(self, text: str) -> bytes:
         if len(self.chunks) > CACHE_ENTRIES:
             self.chunks.clear()
@@ -112,18 +117,21 @@ def token_pieces(docs: DataFrame, path: str, most: int, groups: int, end_id: int
     out, end = arrow_schema(schema), np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).ids
+        own = encoder(path)
+        encode = own.ids
         turn = TaskContext.get().partitionId() * 7919
-        for batch in batches:
-            for part in pieces(batch):
+        try:
+            for part in (part for batch in batches for part in pieces(batch)):
                 rows = []
                 for doc, body in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     ids = encode(body or "") + end
                     for k, at in enumerate(range(0, len(ids), 4 * most)):
-                        body = ids[at : at + 4 * most]
-                        rows.append((doc, k, at // 4, len(body) // 4, zlib.crc32(body), turn % groups))
+                        cut_ids = ids[at : at + 4 * most]
+                        rows.append((doc, k, at // 4, len(cut_ids) // 4, zlib.crc32(cut_ids), turn % groups))
                         turn += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
+        finally:
+            own.forget()
 
     return docs.select(doc_id, text).mapInArrow(cut, schema)
 

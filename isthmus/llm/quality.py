@@ -15,7 +15,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -141,7 +141,7 @@ def features(text: str | None) -> dict[int, float]:
     x = Look(text)
     if not x.n:
         return {}
-    if len(_SHAPES) > 300_000:
+    if len(_SHAPES) > 200_000:
         _SHAPES.clear()
     total: Counter = Counter()
     for t, c in x.counts.items():
@@ -203,7 +203,7 @@ def fit_quality(docs: DataFrame, fit_rows: int = 20_000, text: str = "text") ->
         found = [sorted(features(t).items()) for t in texts]
         return {"code": list(map(pattern, texts)), "b": [[b for b, _ in f] for f in found], "v": [[v for _, v in f] for f in found]}
 
-    rows = per_batch(sample, [text], look, "code long, b array<int>, v array<float>").collect()
+    rows = per_batch(sample, [text], look, "code long, b array<int>, v array<float>", _SHAPES.clear).collect()
     weights = fit_linear([dict(zip(r.b, r.v, strict=True)) for r in rows], np.array([posterior.get(r.code, 0.5) for r in rows])) if rows else np.zeros(BUCKETS + 1)
     accuracy = {f.__name__: {"good votes on good": float(table[1, k, 1]), "bad votes on bad": float(table[0, k, 2])} for k, f in enumerate(LABELLERS)}
     return QualityModel(weights, posterior, accuracy)
@@ -216,14 +216,18 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.5,
         scores = [round(model.score(t), 6) for t in texts]
         return {"doc_id": ids, "weak_label": [round(model.posterior.get(pattern(t), 0.5), 6) for t in texts], "score": scores, "keep": [s >= threshold for s in scores]}
 
-    return per_batch(docs, [doc_id, text], judge, "doc_id long, weak_label double, score double, keep boolean")
+    return per_batch(docs, [doc_id, text], judge, "doc_id long, weak_label double, score double, keep boolean", _SHAPES.clear)
 
 
 def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.5, text: str = "text") -> DataFrame:
     """The documents that the scorer doesn't reject, unchanged."""
 
     @F.pandas_udf("boolean")
-    def good(texts: pd.Series) -> pd.Series:
-        return pd.Series([round(model.score(t if isinstance(t, str) else None), 6) >= threshold for t in texts], dtype=bool)
+    def good(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        try:
+            for texts in batches:
+                yield pd.Series([round(model.score(t if isinstance(t, str) else None), 6) >= threshold for t in texts], dtype=bool)
+        finally:
+            _SHAPES.clear()
 
     return docs.where(good(F.col(f"`{text}`")))

@@ -20,18 +20,23 @@ def fold_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(FOLD).split() if text else []
 
 
-def per_batch(df: DataFrame, columns: list, fn: Callable[..., dict], schema: str) -> DataFrame:
+def per_batch(df: DataFrame, columns: list, fn: Callable[..., dict], schema: str, done: Callable[[], None] | None = None) -> DataFrame:
     """Map Arrow batches: fn gets one Python list per column and returns a dict of columns for the schema.
 
-    A batch is cut into pieces of about 8 MB of text so that a few very long texts don't add up.
+    A batch is cut into pieces of about 8 MB of text so that a few very long texts don't add up. done is called when a
+    task ends, so that an idle worker holds nothing that fn has remembered.
     """
     out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in pieces(batch):
-                made = fn(*(c.to_pylist() for c in piece.columns))
-                yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in out], schema=out)
+        try:
+            for batch in batches:
+                for piece in pieces(batch):
+                    made = fn(*(c.to_pylist() for c in piece.columns))
+                    yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in out], schema=out)
+        finally:
+            if done:
+                done()
 
     return df.select(*columns).mapInArrow(run, schema)
 
