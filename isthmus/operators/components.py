@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut_lineage
+from ..runtime import cut_plan
 from .graph import Graph
 
 
@@ -23,7 +23,7 @@ def star_forest(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds
     executors cost one round at most.
     """
     e = edges.select(F.least(src, dst).alias("v"), F.greatest(src, dst).alias("u")).where("u <> v").distinct()
-    e = cut_lineage(e)
+    e = cut_plan(e)
     before = _mark(e)
     for _ in range(max_rounds):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -31,7 +31,7 @@ def star_forest(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
-        e = cut_lineage(small)
+        e = cut_plan(small)
         after = _mark(e)
         if after == before:
             return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
@@ -55,7 +55,7 @@ def is_connected(g: Graph) -> bool:
 
 def components_minus_separator(g: Graph, separator: DataFrame, min_size: int = 0) -> DataFrame:
     """(id, component) of what is left without the separator's vertices (id), parts of more than min_size only."""
-    found = cut_lineage(connected_components(g.without_vertices(separator)))
+    found = cut_plan(connected_components(g.without_vertices(separator)))
     if min_size == 0:
         return found
     large = found.groupBy("component").count().where(F.col("count") > min_size).select("component")
@@ -64,7 +64,7 @@ def components_minus_separator(g: Graph, separator: DataFrame, min_size: int = 0
 
 def largest_component(g: Graph) -> Graph:
     """The part on the component with most vertices; of equal ones that with the smallest id."""
-    found = cut_lineage(connected_components(g))
+    found = cut_plan(connected_components(g))
     top = found.groupBy("component").count().orderBy(F.desc("count"), "component").limit(1).select("component")
     return g.induced(found.join(F.broadcast(top), "component", "left_semi").select("id"))
 
@@ -77,7 +77,7 @@ def contract_degree2(g: Graph) -> Graph:
     cycle the edge between its two largest ids stays, of a loop at an end the edge to its largest inner vertex.
     """
     deg2 = g.degrees().where("degree = 2").select("id")
-    inner = cut_lineage(connected_components(g.induced(deg2)))
+    inner = cut_plan(connected_components(g.induced(deg2)))
     out = g.edges.select("src", "dst").join(inner.select(F.col("id").alias("src"), "component"), "src").join(deg2.withColumnRenamed("id", "dst"), "dst", "left_anti")
     ends = out.groupBy("component").agg(F.min("dst").alias("a"), F.max("dst").alias("b"))
     last = inner.groupBy("component").agg(F.max("id").alias("top"))

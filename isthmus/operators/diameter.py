@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut_lineage
+from ..runtime import cut_plan
 from .components import contract_degree2, largest_component
 from .graph import Graph
 from .traverse import _one, bfs, multi_bfs, multi_sssp, sampled
@@ -25,7 +25,7 @@ def double_sweep(g: Graph, start: int) -> DataFrame:
 def random_double_sweeps(g: Graph, n: int, seed: int) -> int:
     """Largest of n double sweeps from random vertices; both sweeps of all run at once."""
     ends = multi_bfs(g, sampled(g, n, seed)).groupBy("source").agg(F.max(F.struct("d", "id")).alias("m")).select(F.col("m.id").alias("id")).distinct()
-    return multi_bfs(g, cut_lineage(ends)).agg(F.max("d")).first()[0]
+    return multi_bfs(g, cut_plan(ends)).agg(F.max("d")).first()[0]
 
 
 def all_bfs_diameter(g: Graph) -> int | None:
@@ -55,7 +55,7 @@ def ifub_diameter(g: Graph, max_levels: int | None = None) -> int | None:
     best = 0
     for _ in range(2):
         a = furthest(bfs(g, start)).first()["id"]
-        tree = cut_lineage(bfs(g, a))
+        tree = cut_plan(bfs(g, a))
         if tree.count() < n:
             return None
         b = furthest(tree).first()
@@ -65,7 +65,7 @@ def ifub_diameter(g: Graph, max_levels: int | None = None) -> int | None:
             at = tree.where(F.col("id") == at).first()["parent"]
             d -= 1
         start = at
-    layers = cut_lineage(bfs(g, start))
+    layers = cut_plan(bfs(g, start))
     i = layers.agg(F.max("d")).first()[0]
     searched = 0
     while i > 0 and 2 * i > best and (max_levels is None or searched < max_levels):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geometry import dist, quantise, uniform
-from ..runtime import cut_lineage
+from ..runtime import cut_plan
 
 
 def swapped(edges: DataFrame) -> DataFrame:
@@ -204,7 +204,7 @@ def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     Range partitions are numbered one by one and moved by the sizes of those before, so that no task sees all rows. They
     are checkpointed, as bounds drawn anew could deal rows otherwise.
     """
-    parts = cut_lineage(rows.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+    parts = cut_plan(rows.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
     local = parts.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
     sizes = local.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))
     starts = sizes.withColumn("__s", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__c")
@@ -213,7 +213,7 @@ def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
 
 def running(rows: DataFrame, order: list[str], value: str, name: str, inclusive: bool = True) -> DataFrame:
     """Running sum in the given total order, by range partitions like `numbered`."""
-    parts = cut_lineage(rows.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+    parts = cut_plan(rows.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
     local = parts.withColumn("__n", F.sum(value).over(Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     sums = local.groupBy("__p").agg(F.sum(value).alias("__c"))
     starts = sums.withColumn("__s", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__c")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import cell, dist2
-from ..runtime import cut_lineage
+from ..runtime import cut_plan
 from .components import largest_component
 from .graph import Graph
 from .spatial import box_cells, knn_join, radius_join
@@ -51,7 +51,7 @@ def delaunay_edges(points: DataFrame, tile_points: int = 20_000, halo: float = 0
     the densest.
     """
     own = points.groupBy("x", "y").agg(F.min("id").alias("id")).select("id", "x", "y", F.lit(True).alias("open"))
-    left = cut_lineage(own)
+    left = cut_plan(own)
     found: list[DataFrame] = []
     grow = 1.0
     while True:
@@ -60,16 +60,16 @@ def delaunay_edges(points: DataFrame, tile_points: int = 20_000, halo: float = 0
             break
         extent = max(box[1] - box[0], box[3] - box[2]) or 1.0
         per_side = max(1, int((box[4] / (tile_points * grow)) ** 0.5))
-        made = cut_lineage(_tiles(left, box[:4], extent / per_side, per_side, halo).groupBy("tx", "ty").applyInArrow(_kernel(box[:4], extent / per_side, per_side, halo), "src long, dst long, settled long"))
+        made = cut_plan(_tiles(left, box[:4], extent / per_side, per_side, halo).groupBy("tx", "ty").applyInArrow(_kernel(box[:4], extent / per_side, per_side, halo), "src long, dst long, settled long"))
         found.append(made.where("settled IS NULL").select("src", "dst"))
         if per_side == 1:
             break
         settled = made.where("settled IS NOT NULL").select(F.col("settled").alias("id")).distinct()
-        open_ = cut_lineage(left.where("open").join(settled, "id", "left_anti").select("id", "x", "y"))
+        open_ = cut_plan(left.where("open").join(settled, "id", "left_anti").select("id", "x", "y"))
         both = made.where("settled IS NULL").select("src", "dst")
         ends = both.union(both.select("dst", "src")).toDF("id", "other")
         near = ends.join(open_.select("id"), "id", "left_semi").select(F.col("other").alias("id")).distinct().join(open_, "id", "left_anti")
-        left = cut_lineage(open_.withColumn("open", F.lit(True)).union(left.join(near, "id", "left_semi").select("id", "x", "y", F.lit(False))))
+        left = cut_plan(open_.withColumn("open", F.lit(True)).union(left.join(near, "id", "left_semi").select("id", "x", "y", F.lit(False))))
         grow *= 2
     if not found:
         return left.select(F.col("id").alias("src"), F.col("id").alias("dst")).limit(0)
@@ -147,7 +147,7 @@ def _common_witness(edges: DataFrame, points: DataFrame, blocked) -> DataFrame:
 
 def gabriel_edges(points: DataFrame, delaunay: DataFrame | None = None) -> DataFrame:
     """Delaunay edges without a point strictly inside the circle over them; common Delaunay neighbours suffice as witnesses."""
-    return _common_witness(cut_lineage(delaunay_edges(points)) if delaunay is None else delaunay, points, lambda a, b, d: a + b < d)
+    return _common_witness(cut_plan(delaunay_edges(points)) if delaunay is None else delaunay, points, lambda a, b, d: a + b < d)
 
 
 def rng_edges(points: DataFrame, delaunay: DataFrame | None = None, witness: str = "delaunay") -> DataFrame:
@@ -156,10 +156,10 @@ def rng_edges(points: DataFrame, delaunay: DataFrame | None = None, witness: str
     witness 'delaunay' tries common Delaunay neighbours only and keeps some more edges; 'all' is the relative
     neighbourhood graph proper: the edges that are left are tried against the points of the grid cells of their lunes.
     """
-    some = _common_witness(cut_lineage(delaunay_edges(points)) if delaunay is None else delaunay, points, lambda a, b, d: F.greatest(a, b) < d)
+    some = _common_witness(cut_plan(delaunay_edges(points)) if delaunay is None else delaunay, points, lambda a, b, d: F.greatest(a, b) < d)
     if witness == "delaunay":
         return some
-    e = cut_lineage(with_points(some, points))
+    e = cut_plan(with_points(some, points))
     size = e.agg(F.sqrt(F.percentile_approx("d2", 0.9))).first()[0] or 1.0
     # the lune lies within a box around the edge; its half sides are those of a square over the edge's length
     mx, my, half = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2, F.sqrt("d2") * 0.8660254037844387
@@ -172,7 +172,7 @@ def rng_edges(points: DataFrame, delaunay: DataFrame | None = None, witness: str
 
 def shortest_fraction(edges: DataFrame, points: DataFrame, fraction: float) -> DataFrame:
     """The floor(m * fraction) shortest edges, ties by ids."""
-    e = cut_lineage(with_points(edges, points))
+    e = cut_plan(with_points(edges, points))
     return e.orderBy("d2", "src", "dst").limit(int(e.count() * fraction)).select("src", "dst")
 
 
@@ -183,5 +183,5 @@ def max_length(edges: DataFrame, points: DataFrame, length: float) -> DataFrame:
 
 def delaunay_average_degree(points: DataFrame, degree: float, seed: int) -> Graph:
     """Largest component of the shortest 99 % of Delaunay edges, after random ones are dropped down to the average degree."""
-    d = cut_lineage(delaunay_edges(points))
+    d = cut_plan(delaunay_edges(points))
     return largest_component(Graph.from_edges(shortest_fraction(d, points, 0.99), points).enforce_average_degree(degree, seed))

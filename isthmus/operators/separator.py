@@ -7,17 +7,18 @@ that is next to its component among the vertices ranked up to it.
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut_lineage
+from ..runtime import cut_plan
 from .components import connected_components
 from .graph import Graph, numbered
 from .mst import spanning_forest
-from .trees import subtree_sizes
+from .trees import depths
 
 
 def invert_order(order: DataFrame) -> DataFrame:
@@ -41,7 +42,7 @@ def elimination_tree(g: Graph, order: DataFrame) -> DataFrame:
     """
     r = order.select("node", "rank")
     e = g.canonical().select("src", "dst").join(r.toDF("src", "rs"), "src").join(r.toDF("dst", "rd"), "dst")
-    forest = cut_lineage(spanning_forest(e.select(F.col("rs").alias("src"), F.col("rd").alias("dst"), F.greatest("rs", "rd").alias("w"))))
+    forest = cut_plan(spanning_forest(e.select(F.col("rs").alias("src"), F.col("rd").alias("dst"), F.greatest("rs", "rd").alias("w"))))
     names = connected_components(Graph.from_edges(forest.select("src", "dst"))).select(F.col("id").alias("src"), "component")
 
     def run(rows: pa.Table) -> pa.Table:
@@ -67,52 +68,65 @@ def elimination_tree(g: Graph, order: DataFrame) -> DataFrame:
     return r.join(links, r["rank"] == links["child"], "left").join(back, "up", "left").select(F.col("node").alias("id"), F.col("up_node").alias("parent"), "rank")
 
 
-def _sized(tree: DataFrame) -> DataFrame:
-    return cut_lineage(tree.select("id", "parent").join(subtree_sizes(tree.select("id", "parent")), "id"))
+def _per_root(tree: DataFrame, walk: Callable[[int, dict[int, list[int]], dict[int, int]], list[tuple]], schema: str) -> DataFrame:
+    """Run walk(root, children, subtree sizes) on each tree of the forest; trees run in parallel.
 
+    Elimination trees are about as deep as separators are large, so a tree is walked in memory, one group for each.
+    """
+    rows = tree.select("id", "parent").join(depths(tree.select("id", "parent")), "id")
+    names = [c.split()[0] for c in schema.split(", ")]
 
-def separator_sizes(tree: DataFrame, least: int = 10, share: float = 0.1, max_rounds: int = 1_000_000) -> DataFrame:
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("depth", "ascending"), ("id", "ascending")])
+        ids, parents = rows["id"].to_pylist(), rows["parent"].to_pylist()
+        children: dict[int, list[int]] = {i: [] for i in ids}
+        size = dict.fromkeys(ids, 1)
+        for i, p in zip(ids, parents, strict=True):
+            if p is not None:
+                children[p].append(i)
+        for i, p in zip(reversed(ids), reversed(parents), strict=True):
+            if p is not None:
+                size[p] += size[i]
+        made = walk(ids[0], children, size)
+        return pa.table({n: pa.array([m[k] for m in made], pa.int64()) for k, n in enumerate(names)})
+
+    return rows.groupBy("root").applyInArrow(run, schema)
+
+
+def separator_sizes(tree: DataFrame, least: int = 10, share: float = 0.1) -> DataFrame:
     """(root, node, n, s): sizes of parts and of their separators, read off the tree.
 
     From each root down: children of more than max(least, floor(share * size)) are large. One large child goes on with
     s + 1; several close a separator, n = size + s, and begin anew with s = 1 in each; none ends the walk. (n counts the
-    branching vertex in both terms.) Runs of single large children are skipped over one level a round.
+    branching vertex in both terms.)
     """
-    t = _sized(tree)
-    kids = t.where("parent IS NOT NULL").select(F.col("parent").alias("node"), F.col("id").alias("child"), F.col("size").alias("child_size"))
-    at = cut_lineage(t.where("parent IS NULL").select(F.col("id").alias("root"), F.col("id").alias("node"), "size", F.lit(1).cast("long").alias("s")))
-    out = []
-    for _ in range(max_rounds):
-        large = at.join(kids, "node").where(F.col("child_size") > F.greatest(F.lit(least), F.floor(F.col("size") * share)))
-        n = large.groupBy("node").agg(F.count(F.lit(1)).alias("k"))
-        step = cut_lineage(large.join(n, "node"))
-        out.append(step.where("k >= 2").select("root", "node", (F.col("size") + F.col("s")).alias("n"), "s").distinct())
-        at = cut_lineage(step.select("root", F.col("child").alias("node"), F.col("child_size").alias("size"), F.when(F.col("k") == 1, F.col("s") + 1).otherwise(1).cast("long").alias("s")))
-        if at.isEmpty():
-            break
-    total = out[0]
-    for o in out[1:]:
-        total = total.union(o)
-    return total
+
+    def walk(root: int, children: dict[int, list[int]], size: dict[int, int]) -> list[tuple]:
+        out, stack = [], [(root, 1)]
+        while stack:
+            node, s = stack.pop()
+            large = [c for c in children[node] if size[c] > max(least, int(share * size[node]))]
+            if len(large) > 1:
+                out.append((root, node, size[node] + s, s))
+            stack += [(c, s + 1 if len(large) == 1 else 1) for c in large]
+        return out
+
+    return _per_root(tree, walk, "root long, node long, n long, s long")
 
 
 def top_level_separator(tree: DataFrame, share: int = 20) -> DataFrame:
     """(root, step, node): from each root down while exactly one child is larger than floor(size / share)."""
-    t = _sized(tree)
-    kids = t.where("parent IS NOT NULL").select(F.col("parent").alias("node"), F.col("id").alias("child"), F.col("size").alias("child_size"))
-    at = cut_lineage(t.where("parent IS NULL").select(F.col("id").alias("root"), F.lit(0).cast("long").alias("step"), F.col("id").alias("node"), "size"))
-    out = [at.select("root", "step", "node")]
-    while True:
-        large = at.join(kids, "node").where(F.col("child_size") > F.floor(F.col("size") / share))
-        one = large.groupBy("root", "step").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("child", "child_size")).alias("c")).where("k = 1")
-        at = cut_lineage(one.select("root", (F.col("step") + 1).alias("step"), F.col("c.child").alias("node"), F.col("c.child_size").alias("size")))
-        if at.isEmpty():
-            break
-        out.append(at.select("root", "step", "node"))
-    total = out[0]
-    for o in out[1:]:
-        total = total.union(o)
-    return total
+
+    def walk(root: int, children: dict[int, list[int]], size: dict[int, int]) -> list[tuple]:
+        out, at = [(root, 0, root)], root
+        while True:
+            large = [c for c in children[at] if size[c] > size[at] // share]
+            if len(large) != 1:
+                return out
+            at = large[0]
+            out.append((root, len(out), at))
+
+    return _per_root(tree, walk, "root long, step long, node long")
 
 
 # inertial node separators
@@ -247,21 +261,21 @@ def nested_dissection(g: Graph, leaf: int = 50, imbalance: float = 0.33, max_rou
     Every round separates all parts at once, one group each, so parts run in parallel; only the first rounds have few.
     """
     path = connected_components(g).select("id", "component", F.array().cast("array<long>").alias("path"))
-    left, done = cut_lineage(path), []
+    left, done = cut_plan(path), []
     for _ in range(max_rounds):
         sizes = left.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
         small = left.join(sizes.where(F.col("n") <= leaf), "component")
         deg = g.degrees()
         done.append(small.join(deg, "id").select("id", F.concat("path", F.array("component", F.lit(0).cast("long"), F.col("degree").cast("long"), F.col("id"))).alias("key")))
-        big = cut_lineage(left.join(sizes.where(F.col("n") > leaf).select("component"), "component", "left_semi").select("id", "component", "path"))
+        big = cut_plan(left.join(sizes.where(F.col("n") > leaf).select("component"), "component", "left_semi").select("id", "component", "path"))
         if big.isEmpty():
             break
         part = g.induced(big.select("id"))
-        cut = cut_lineage(_by_part(part, big, imbalance).select("id").withColumn("cut", F.lit(True)))
+        cut = cut_plan(_by_part(part, big, imbalance).select("id").withColumn("cut", F.lit(True)))
         marked = big.join(cut, "id", "left")
         done.append(marked.where("cut").select("id", F.concat("path", F.array(F.col("component"), F.lit(1).cast("long"), F.col("id"))).alias("key")))
         rest = marked.where("cut IS NULL").select("id", F.concat("path", F.array(F.col("component"), F.lit(0).cast("long"))).alias("path"))
-        left = cut_lineage(connected_components(part.without_vertices(cut)).join(rest, "id").select("id", "component", "path"))
+        left = cut_plan(connected_components(part.without_vertices(cut)).join(rest, "id").select("id", "component", "path"))
     total = done[0]
     for d in done[1:]:
         total = total.union(d)
@@ -276,25 +290,25 @@ def separate_recursively(g: Graph, least: int = 100, largest_only: bool = False,
     level by component id).
     """
     out, level, seen = [], 0, 0
-    parts = cut_lineage(connected_components(g))
+    parts = cut_plan(connected_components(g))
     while True:
         sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
         if largest_only:
             sizes = sizes.orderBy(F.desc("n"), "component").limit(1)
         if most is not None:
             sizes = sizes.orderBy("component").limit(most - seen)
-        sizes = cut_lineage(sizes)
+        sizes = cut_plan(sizes)
         k = sizes.count()
         if not k:
             break
         seen += k
-        big = cut_lineage(parts.join(sizes, "component").select("id", "component"))
+        big = cut_plan(parts.join(sizes, "component").select("id", "component"))
         part = g.induced(big.select("id"))
-        cut = cut_lineage(_by_part(part, big, imbalance))
+        cut = cut_plan(_by_part(part, big, imbalance))
         out.append(cut.groupBy("component").agg(F.count(F.lit(1)).alias("s")).join(sizes, "component").select("n", "s", F.lit(level).alias("level")))
         if most is not None and seen >= most:
             break
-        parts = cut_lineage(connected_components(part.without_vertices(cut.select("id"))))
+        parts = cut_plan(connected_components(part.without_vertices(cut.select("id"))))
         level += 1
     if not out:
         return parts.select(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("s"), F.lit(0).alias("level")).limit(0)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geometry import cell, dist2
-from ..runtime import cut_lineage
+from ..runtime import cut_plan
 
 
 def _around(rows: DataFrame, axes: list[str], size: float) -> DataFrame:
@@ -36,7 +36,7 @@ def knn_join(a: DataFrame, b: DataFrame, k: int, exclude_same_id: bool = True, p
     farther than a cell's side, which nothing outside can beat; the others go on with cells of double the side.
     """
     box = b.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count(F.lit(1))).first()
-    left = cut_lineage(a.select(F.col("id").alias("u"), F.col("x").alias("ax"), F.col("y").alias("ay")))
+    left = cut_plan(a.select(F.col("id").alias("u"), F.col("x").alias("ax"), F.col("y").alias("ay")))
     if not box[4]:
         return left.select("u", F.lit(0).cast("long").alias("v"), F.lit(0.0).alias("d2"), F.lit(0).alias("rank")).limit(0)
     ext = a.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
@@ -56,10 +56,10 @@ def knn_join(a: DataFrame, b: DataFrame, k: int, exclude_same_id: bool = True, p
         if last:
             done.append(ranked.select("u", "v", "d2", "rank"))
             break
-        ranked = cut_lineage(ranked)
+        ranked = cut_plan(ranked)
         full = ranked.where((F.col("rank") == k) & (F.col("d2") <= size * size)).select("u")
         done.append(ranked.join(full, "u", "left_semi").select("u", "v", "d2", "rank"))
-        left = cut_lineage(left.join(full, "u", "left_anti"))
+        left = cut_plan(left.join(full, "u", "left_anti"))
         if left.isEmpty():
             break
         size *= 2

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import dist
-from ..runtime import cut_lineage
+from ..runtime import cut_plan
 from .graph import Graph
 from .stats import bin_edges, histogram
 
@@ -24,7 +24,7 @@ def multi_bfs(g: Graph, sources: DataFrame, max_hops: int | None = None, targets
     (ids), the search ends when all are reached from all sources.
     """
     edges = g.edges.select("src", "dst")
-    layer = cut_lineage(sources.select(F.col("id").alias("source"), "id").distinct().join(g.vertices.select("id"), "id", "left_semi").select("source", "id", F.lit(0).cast("long").alias("d"), F.lit(None).cast("long").alias("parent")))
+    layer = cut_plan(sources.select(F.col("id").alias("source"), "id").distinct().join(g.vertices.select("id"), "id", "left_semi").select("source", "id", F.lit(0).cast("long").alias("d"), F.lit(None).cast("long").alias("parent")))
     layers, hop = [layer], 0
     goal = None if targets is None else layer.count() * targets.select("id").distinct().count()
     met = 0
@@ -38,7 +38,7 @@ def multi_bfs(g: Graph, sources: DataFrame, max_hops: int | None = None, targets
         near = layers if g.directed else layers[-2:]
         for old in near:
             reached = reached.join(old.select(*KEY), KEY, "left_anti")
-        layer = cut_lineage(reached.select("source", "id", F.lit(hop).cast("long").alias("d"), "parent"))
+        layer = cut_plan(reached.select("source", "id", F.lit(hop).cast("long").alias("d"), "parent"))
         if layer.isEmpty():
             break
         layers.append(layer)
@@ -89,7 +89,7 @@ def multi_sssp(g: Graph, sources: DataFrame, limit: float | None = None, strict:
     A round relaxes the edges of the rows that improved. With avoid, (source, src, dst) rows, a source doesn't use those edges.
     """
     edges = g.edges.select("src", "dst", "w")
-    best = cut_lineage(sources.select(F.col("id").alias("source"), "id").distinct().withColumn("d", F.lit(0.0)))
+    best = cut_plan(sources.select(F.col("id").alias("source"), "id").distinct().withColumn("d", F.lit(0.0)))
     fresh = best
     for _ in range(max_rounds):
         step = fresh.select("source", F.col("id").alias("src"), "d").join(edges, "src")
@@ -99,10 +99,10 @@ def multi_sssp(g: Graph, sources: DataFrame, limit: float | None = None, strict:
         if limit is not None:
             step = step.where(F.col("d") < limit if strict else F.col("d") <= limit)
         step = step.groupBy(*KEY).agg(F.min("d").alias("d"))
-        fresh = cut_lineage(step.alias("s").join(best.alias("b"), KEY, "left").where("b.d IS NULL OR s.d < b.d").select(*KEY, F.col("s.d").alias("d")))
+        fresh = cut_plan(step.alias("s").join(best.alias("b"), KEY, "left").where("b.d IS NULL OR s.d < b.d").select(*KEY, F.col("s.d").alias("d")))
         if fresh.isEmpty():
             return best
-        best = cut_lineage(best.join(fresh.select(*KEY), KEY, "left_anti").union(fresh))
+        best = cut_plan(best.join(fresh.select(*KEY), KEY, "left_anti").union(fresh))
     raise RuntimeError("distances did not settle")
 
 
@@ -125,8 +125,8 @@ def within_distance(g: Graph, asked: DataFrame, strict: bool = True, ignore_edge
     if placed:
         q = q.join(g.vertices.select(F.col("id").alias("v"), F.col("x").alias("vx"), F.col("y").alias("vy")), "v")
         edges = edges.join(g.vertices.select(F.col("id").alias("dst"), F.col("x").alias("dx"), F.col("y").alias("dy")), "dst")
-    q = cut_lineage(q)
-    best = cut_lineage(q.select("qid", F.col("u").alias("id"), F.lit(0.0).alias("d")))
+    q = cut_plan(q)
+    best = cut_plan(q.select("qid", F.col("u").alias("id"), F.lit(0.0).alias("d")))
     fresh, done = best, q.where("u = v").select("qid")
     for _ in range(max_rounds):
         step = fresh.withColumnRenamed("id", "src").join(q, "qid").join(edges, "src")
@@ -136,25 +136,25 @@ def within_distance(g: Graph, asked: DataFrame, strict: bool = True, ignore_edge
         if placed:
             step = step.where(ok(F.col("n") + dist("dx", "dy", "vx", "vy") * (1 - 1e-12)))
         step = step.groupBy("qid", F.col("dst").alias("id")).agg(F.min("n").alias("d"))
-        fresh = cut_lineage(step.alias("s").join(best.alias("b"), ["qid", "id"], "left").where("b.d IS NULL OR s.d < b.d").select("qid", "id", F.col("s.d").alias("d")))
+        fresh = cut_plan(step.alias("s").join(best.alias("b"), ["qid", "id"], "left").where("b.d IS NULL OR s.d < b.d").select("qid", "id", F.col("s.d").alias("d")))
         if fresh.isEmpty():
             break
         met = fresh.alias("f").join(q.alias("q"), F.expr("f.qid = q.qid AND f.id = q.v")).select("f.qid")
-        done = cut_lineage(done.union(met).distinct())
+        done = cut_plan(done.union(met).distinct())
         # answered questions are searched no further
-        fresh = cut_lineage(fresh.join(done, "qid", "left_anti"))
-        best = cut_lineage(best.join(fresh.select("qid", "id"), ["qid", "id"], "left_anti").union(fresh))
+        fresh = cut_plan(fresh.join(done, "qid", "left_anti"))
+        best = cut_plan(best.join(fresh.select("qid", "id"), ["qid", "id"], "left_anti").union(fresh))
     return asked.select("qid").join(done.withColumn("within", F.lit(True)), "qid", "left").select("qid", F.coalesce("within", F.lit(False)).alias("within"))
 
 
 def path_nodes(g: Graph, source: int, target: int) -> DataFrame:
     """(step, id) of one shortest hop path, smallest parents first; no rows if there is none."""
-    tree = cut_lineage(multi_bfs(g, _one(g, source), targets=_one(g, target)).drop("source"))
+    tree = cut_plan(multi_bfs(g, _one(g, source), targets=_one(g, target)).drop("source"))
     at = tree.where(F.col("id") == target)
     parts = [at.select(F.col("d").alias("step"), "id")]
     d = at.select("d").first()
     for _ in range(d[0] if d else 0):
-        at = cut_lineage(tree.alias("t").join(at.alias("a"), F.col("t.id") == F.col("a.parent")).select("t.*"))
+        at = cut_plan(tree.alias("t").join(at.alias("a"), F.col("t.id") == F.col("a.parent")).select("t.*"))
         parts.append(at.select(F.col("d").alias("step"), "id"))
     out = parts[0]
     for p in parts[1:]:
@@ -178,7 +178,7 @@ def hop_histogram(g: Graph, sources: DataFrame, include_max: bool = True) -> Dat
 
 def distance_histogram(g: Graph, sources: DataFrame, k: int) -> DataFrame:
     """Right-closed histogram with k bins of the weighted distances from all sources, up to the largest."""
-    d = cut_lineage(multi_sssp(g, sources))
+    d = cut_plan(multi_sssp(g, sources))
     top = d.agg(F.max("d")).first()[0]
     return histogram(d, "d", bin_edges(k, top or 0.0))
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut_lineage
+from ..runtime import cut_plan
 from .graph import Graph
 from .traverse import bfs
 
@@ -20,12 +20,12 @@ def rooted(g: Graph, root: int) -> DataFrame:
 
 def lifting_table(tree: DataFrame) -> tuple[DataFrame, int]:
     """(id, k, anc): the ancestor 2^k above, for those that there are; and the number of levels k."""
-    level = cut_lineage(tree.where("parent IS NOT NULL").select("id", F.lit(0).alias("k"), F.col("parent").alias("anc")))
+    level = cut_plan(tree.where("parent IS NOT NULL").select("id", F.lit(0).alias("k"), F.col("parent").alias("anc")))
     levels = []
     while not level.isEmpty():
         levels.append(level)
         up = level.select(F.col("id").alias("mid"), F.col("anc").alias("top"))
-        level = cut_lineage(level.join(up, level["anc"] == up["mid"]).select("id", F.lit(len(levels)).alias("k"), F.col("top").alias("anc")))
+        level = cut_plan(level.join(up, level["anc"] == up["mid"]).select("id", F.lit(len(levels)).alias("k"), F.col("top").alias("anc")))
     out = level
     for x in levels:
         out = out.union(x)
@@ -34,10 +34,10 @@ def lifting_table(tree: DataFrame) -> tuple[DataFrame, int]:
 
 def depths(tree: DataFrame) -> DataFrame:
     """(id, depth, root), by pointer doubling."""
-    at = cut_lineage(tree.select("id", F.coalesce("parent", "id").alias("anc"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")))
+    at = cut_plan(tree.select("id", F.coalesce("parent", "id").alias("anc"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")))
     while True:
         up = at.select(F.col("id").alias("mid"), F.col("anc").alias("top"), F.col("depth").alias("more"))
-        new = cut_lineage(at.join(up, at["anc"] == up["mid"]).select("id", F.col("top").alias("anc"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")))
+        new = cut_plan(at.join(up, at["anc"] == up["mid"]).select("id", F.col("top").alias("anc"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")))
         at = new.drop("moved")
         if new.where("moved").isEmpty():
             return at.select("id", "depth", F.col("anc").alias("root"))
@@ -46,7 +46,7 @@ def depths(tree: DataFrame) -> DataFrame:
 def subtree_sizes(tree: DataFrame) -> DataFrame:
     """(id, size): vertices below and with each. Sums move up one depth a round; each round only reads that depth."""
     d = depths(tree)
-    rows = cut_lineage(tree.join(d, "id").select("id", "parent", "depth"))
+    rows = cut_plan(tree.join(d, "id").select("id", "parent", "depth"))
     top = rows.agg(F.max("depth")).first()[0]
     if top is None:
         return rows.select("id", F.lit(1).cast("long").alias("size"))
@@ -59,7 +59,7 @@ def subtree_sizes(tree: DataFrame) -> DataFrame:
         else:
             sums = below.groupBy(F.col("parent").alias("id")).agg(F.sum("size").alias("s"))
             sized = own.join(sums, "id", "left").select("id", "parent", (1 + F.coalesce("s", F.lit(0))).alias("size"))
-        below = cut_lineage(sized)
+        below = cut_plan(sized)
         parts.append(below.select("id", "size"))
     out = parts[0]
     for p in parts[1:]:
@@ -70,16 +70,16 @@ def subtree_sizes(tree: DataFrame) -> DataFrame:
 def lca(tree: DataFrame, pairs: DataFrame) -> DataFrame:
     """(u, v, lca, distance) for pairs (u, v); no row for pairs in different trees."""
     table, levels = lifting_table(tree)
-    d = cut_lineage(depths(tree))
+    d = cut_plan(depths(tree))
     at = pairs.select("u", "v").distinct()
     for c in ("u", "v"):
         at = at.join(d.select(F.col("id").alias(c), F.col("depth").alias(f"d{c}"), F.col("root").alias(f"r{c}")), c)
     at = at.where("ru = rv").select("u", "v", "du", "dv", F.when(F.col("du") >= F.col("dv"), F.col("u")).otherwise(F.col("v")).alias("a"), F.when(F.col("du") >= F.col("dv"), F.col("v")).otherwise(F.col("u")).alias("b"), F.abs(F.col("du") - F.col("dv")).alias("gap"))
-    at = cut_lineage(at)
+    at = cut_plan(at)
     up = lambda k, c: table.where(F.col("k") == k).select(F.col("id").alias(c), F.col("anc").alias(f"{c}_up"))
     for k in range(levels - 1, -1, -1):  # lift the deeper one
         at = at.join(up(k, "a"), "a", "left").withColumn("a", F.when(F.expr(f"gap >= {1 << k}"), F.col("a_up")).otherwise(F.col("a"))).withColumn("gap", F.expr(f"CASE WHEN gap >= {1 << k} THEN gap - {1 << k} ELSE gap END")).drop("a_up")
-    at = cut_lineage(at)
+    at = cut_plan(at)
     for k in range(levels - 1, -1, -1):  # lift both while they differ
         at = at.join(up(k, "a"), "a", "left").join(up(k, "b"), "b", "left")
         moves = F.col("a_up").isNotNull() & F.col("b_up").isNotNull() & (F.col("a_up") != F.col("b_up")) & (F.col("a") != F.col("b"))

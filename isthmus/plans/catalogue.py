@@ -1,10 +1,742 @@
-"""Query catalogue of the graph engine: name to DataFrame builder, and name to DuckDB SQL."""
+"""Query catalogue of the graph engine: name to DataFrame builder, and name to DuckDB SQL where SQL can express it.
+
+Graphs come from the tables: BIP joins orders with suppliers, TRADE customer nations with supplier nations, TREE is
+root - region - nation - customer, PT are points from the first two embedding dimensions, and LAT(k) is a lattice.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.geometry import in_polygon, polygon_area, polygon_centroid, quantise
+from ..operators import components as comp
+from ..operators import diameter as dia
+from ..operators import mst, planar, proximity, separator, spanner, spatial, stats, traverse, trees
+from ..operators.graph import Graph, numbered
+from ..runtime import cut_plan, read_table
+from ..sources import examples, generate
+from . import sql as Q
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+
+SUPPLIER = 1_000_000_000_000
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a builder under its name, with its SQL if there is one."""
+
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# graphs
+
+
+def bip(spark: SparkSession, d: str) -> Graph:
+    e = read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), (F.col("l_suppkey") + SUPPLIER).alias("dst"))
+    return Graph.from_edges(e)
+
+
+def bip_stored(spark: SparkSession, d: str) -> Graph:
+    """For loops: made once."""
+    g = bip(spark, d)
+    return Graph(cut_plan(g.vertices), cut_plan(g.edges))
+
+
+def trade(spark: SparkSession, d: str) -> Graph:
+    """Directed, customer nation to supplier nation."""
+    line = read_table(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
+    orders = read_table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    customer = read_table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    supplier = read_table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    e = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    return Graph.from_edges(e.select(F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst")), directed=True)
+
+
+def tree(spark: SparkSession, d: str) -> DataFrame:
+    """(id, parent)."""
+    region = read_table(spark, d, "region").select((F.col("r_regionkey") + 1).cast("long").alias("id"), F.lit(0).cast("long").alias("parent"))
+    nation = read_table(spark, d, "nation").select((F.col("n_nationkey") + 100).cast("long").alias("id"), (F.col("n_regionkey") + 1).cast("long").alias("parent"))
+    customer = read_table(spark, d, "customer").select((F.col("c_custkey") + 1000).cast("long").alias("id"), (F.col("c_nationkey") + 100).cast("long").alias("parent"))
+    root = spark.range(1).select("id", F.lit(None).cast("long").alias("parent"))
+    return root.union(region).union(nation).union(customer)
+
+
+def pt(spark: SparkSession, d: str) -> DataFrame:
+    e = read_table(spark, d, "embeddings")
+    return e.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+
+
+def pt_stored(spark: SparkSession, d: str) -> DataFrame:
+    return cut_plan(pt(spark, d))
+
+
+def ud(spark: SparkSession, d: str, r: float) -> Graph:
+    p = pt_stored(spark, d)
+    return Graph.from_edges(cut_plan(proximity.unit_disk_edges(p, r)), p)
+
+
+def first_order(g: Graph) -> int:
+    return g.vertices.agg(F.min("id")).first()[0]
+
+
+def lat_rank(k: int) -> dict[int, int]:
+    """Rank by recursive dissection of the k x k lattice: halves first, then the line between, numbered upwards."""
+    out: list[int] = []
+
+    def cut(r0: int, r1: int, c0: int, c1: int) -> None:
+        if (r1 - r0) * (c1 - c0) <= 2:
+            out.extend(r * k + c for r in range(r0, r1) for c in range(c0, c1))
+        elif c1 - c0 >= r1 - r0:
+            m = (c0 + c1) // 2
+            cut(r0, r1, c0, m)
+            cut(r0, r1, m + 1, c1)
+            out.extend(r * k + m for r in range(r0, r1))
+        else:
+            m = (r0 + r1) // 2
+            cut(r0, m, c0, c1)
+            cut(m + 1, r1, c0, c1)
+            out.extend(m * k + c for c in range(c0, c1))
+
+    cut(0, k, 0, k)
+    return {v: i for i, v in enumerate(out)}
+
+
+def lat_order(spark: SparkSession, k: int) -> DataFrame:
+    return spark.createDataFrame(list(lat_rank(k).items()), "node long, rank long")
+
+
+def r6(c: str) -> F.Column:
+    return F.round(F.col(c), 6).alias(c)
+
+
+# statistics
+
+
+@query(Q.GRAPH_COUNTS)
+def graph_counts(spark, d):
+    return stats.counts(bip(spark, d)).select("nodes", "edges", r6("avg_degree"), r6("meshedness"))
+
+
+@query(Q.DEGREE_TABLE)
+def degree_table(spark, d):
+    return bip(spark, d).degrees()
+
+
+@query(Q.DEGREE_CDF.format(columns="degree, cnt, frac"))
+def degree_distribution(spark, d):
+    return stats.degree_distribution(bip(spark, d)).select("degree", "cnt", r6("frac"))
+
+
+@query(Q.DEGREE_CDF.format(columns="degree, cnt, frac, cdf"))
+def degree_cdf(spark, d):
+    return stats.degree_cdf(bip(spark, d)).select("degree", "cnt", r6("frac"), r6("cdf"))
+
+
+@query(Q.AVERAGE_DEGREE)
+def average_degree(spark, d):
+    return stats.counts(bip(spark, d)).select(r6("avg_degree"))
+
+
+@query(Q.MAX_DEGREE)
+def max_degree_vertex(spark, d):
+    m = bip(spark, d).degrees().agg(F.max(F.struct("degree", (-F.col("id")).alias("i"))).alias("m"))
+    return m.select((-F.col("m.i")).alias("id"), F.col("m.degree").alias("degree"))
+
+
+# construction
+
+
+@query(Q.SYMMETRISE)
+def symmetrise(spark, d):
+    return trade(spark, d).make_undirected().edges
+
+
+@query(Q.TRANSPOSE)
+def transpose(spark, d):
+    return trade(spark, d).transpose().edges
+
+
+@query(Q.CANONICAL)
+def canonical_edges(spark, d):
+    return trade(spark, d).make_undirected().canonical()
+
+
+@query(Q.IS_UNDIRECTED)
+def is_undirected(spark, d):
+    e = trade(spark, d).edges
+    one = e.join(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_anti")
+    return one.agg(F.count(F.lit(1)).alias("one_way"))
+
+
+@query(Q.ADD_EDGES)
+def add_edges(spark, d):
+    more = read_table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("src"), (F.col("n_regionkey") + 100).cast("long").alias("dst"))
+    return trade(spark, d).add_edges(more).edges
+
+
+@query(Q.REMOVE_EDGES)
+def remove_edges(spark, d):
+    gone = read_table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("src"), F.col("n_regionkey").cast("long").alias("dst"))
+    return trade(spark, d).remove_edges(gone).edges
+
+
+@query(Q.CLEAR_VERTEX)
+def clear_vertex(spark, d):
+    return trade(spark, d).clear_vertex(3).degrees()
+
+
+@query(Q.HAS_EDGE)
+def has_edge(spark, d):
+    asked = read_table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("src"), F.col("n_regionkey").cast("long").alias("dst"))
+    return trade(spark, d).has_edges(asked)
+
+
+@query(Q.DEDUP_POINTS)
+def dedup_points(spark, d):
+    p = pt(spark, d).select("id", quantise("x", 1e2).alias("kx"), quantise("y", 1e2).alias("ky"))
+    return p.groupBy("kx", "ky").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("cnt"))
+
+
+@query(Q.COORDS_TO_GRAPH)
+def coords_to_graph(spark, d):
+    o = read_table(spark, d, "lineitem").select((F.col("l_orderkey") % 97).alias("ux"), (F.col("l_suppkey") % 89).alias("uy"), (F.col("l_partkey") % 97).alias("vx"), (F.col("l_suppkey") % 83).alias("vy"))
+    g = Graph.from_coordinate_edges(o)
+    return g.canonical().select("src", "dst")
+
+
+@query(Q.CSR_OFFSETS)
+def csr_offsets(spark, d):
+    return bip(spark, d).csr_offsets()
+
+
+@query(Q.ADJACENCY)
+def adjacency_lists(spark, d):
+    return trade(spark, d).adjacency().select("id", F.array_join("neighbours", ",").alias("neighbours"))
+
+
+@query(Q.REINDEX)
+def reindex(spark, d):
+    return bip(spark, d).reindex()[1]
+
+
+@query(Q.INDUCED)
+def induced_subgraph(spark, d):
+    keep = read_table(spark, d, "orders").where("o_custkey % 2 = 0").select(F.col("o_orderkey").alias("id"))
+    g = bip(spark, d)
+    return g.induced(keep.union(g.vertices.where(F.col("id") >= SUPPLIER))).canonical()
+
+
+# spatial
+
+
+@query(Q.RADIUS_JOIN)
+def radius_join(spark, d):
+    p = pt(spark, d)
+    return spatial.radius_join(p, p, 0.05).where("u < v").select("u", "v", r6("d2"))
+
+
+@query(Q.UNIT_DISK)
+def unit_disk(spark, d):
+    return proximity.unit_disk_edges(pt(spark, d), 0.05)
+
+
+@query(Q.KNN_JOIN)
+def knn_join(spark, d):
+    p = pt_stored(spark, d)
+    return spatial.knn_join(p, p, 3).select("u", "v", r6("d2"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(Q.KNN_GRAPH)
+def knn_graph(spark, d):
+    return proximity.knn_edges(pt_stored(spark, d), 3)
+
+
+@query(Q.NEAREST)
+def nearest(spark, d):
+    p = pt_stored(spark, d)
+    return spatial.nearest(p, p, exclude_same_id=True).select("u", "v", r6("d2"))
+
+
+@query(Q.IN_POLYGON)
+def in_polygon_points(spark, d):
+    xs, ys = (F.array(*map(F.lit, c)) for c in Q.POLYGON)
+    return pt(spark, d).select("id", in_polygon(F.col("x"), F.col("y"), xs, ys).alias("inside"))
+
+
+@query(Q.POLYGON_MEASURES)
+def polygon_measures(spark, d):
+    xs, ys = (F.array(*map(F.lit, c)) for c in Q.POLYGON)
+    cx, cy = polygon_centroid(xs, ys)
+    return spark.range(1).select(F.round(polygon_area(xs, ys), 6).alias("area"), F.round(cx, 6).alias("cx"), F.round(cy, 6).alias("cy"))
+
+
+@query(Q.SEGMENT_BOX)
+def segment_bbox_join(spark, d):
+    p = pt_stored(spark, d)
+    s = Graph.from_edges(proximity.knn_edges(p, 3), p).segments()
+    s = cut_plan(numbered(s, ["src", "dst"], "e"))
+    return spatial.segment_box_join(s).select("e1", "e2")
+
+
+@query(Q.DELAUNAY + "SELECT src, dst FROM dt")
+def delaunay(spark, d):
+    return proximity.delaunay_edges(pt(spark, d))
+
+
+@query(Q.DELAUNAY + Q.SHORT99)
+def delaunay_short99(spark, d):
+    p = pt_stored(spark, d)
+    return proximity.shortest_fraction(proximity.delaunay_edges(p), p, 0.99)
+
+
+@query(Q.DELAUNAY + Q.MAXLEN)
+def delaunay_maxlen(spark, d):
+    p = pt_stored(spark, d)
+    return proximity.max_length(proximity.delaunay_edges(p), p, 0.05)
+
+
+@query(Q.GABRIEL)
+def gabriel(spark, d):
+    return proximity.gabriel_edges(pt_stored(spark, d))
+
+
+@query(Q.RNG + "SELECT src, dst FROM rng")
+def rng_exact(spark, d):
+    return proximity.rng_edges(pt_stored(spark, d), witness="all")
+
+
+@query(Q.DELAUNAY + Q.RNG_REFERENCE)
+def rng_reference(spark, d):
+    return proximity.rng_edges(pt_stored(spark, d))
+
+
+@query(Q.PLANARIZE)
+def planarize(spark, d):
+    p = pt_stored(spark, d)
+    g = planar.planarize(Graph.from_edges(cut_plan(proximity.knn_edges(p, 3)), p))
+    v = g.vertices.agg(F.count(F.lit(1)).alias("vertices"))
+    return v.crossJoin(g.canonical().agg(F.count(F.lit(1)).alias("edges")))
+
+
+@query(Q.CROSSINGS)
+def crossings(spark, d):
+    p = pt_stored(spark, d)
+    return planar.crossings(Graph.from_edges(cut_plan(proximity.knn_edges(p, 3)), p)).select("s1", "d1", "s2", "d2", r6("x"), r6("y"))
+
+
+# lengths, bins and fits
+
+
+@query(Q.EDGE_LENGTHS)
+def edge_lengths(spark, d):
+    return ud(spark, d, 0.05).edge_lengths().select("src", "dst", r6("w"))
+
+
+@query(Q.HISTOGRAM)
+def histogram_edge_length(spark, d):
+    return stats.histogram(ud(spark, d, 0.05).edge_lengths(), "w", [0.0, 0.01, 0.02, 0.03, 0.04, 0.05]).select(F.col("bin").cast("long").alias("bin"), "lo", "hi", "cnt")
+
+
+@query(Q.BIN_EDGES)
+def bin_edges(spark, d):
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(stats.bin_edges(4, 4.0))], "i long, edge double").select("i", F.round("edge", 8).alias("edge"))
+
+
+@query(Q.DENSITY)
+def density_cdf(spark, d):
+    h = stats.histogram(ud(spark, d, 0.05).edge_lengths(), "w", [0.0, 0.01, 0.02, 0.03, 0.04, 0.05])
+    return stats.density(h).select(F.col("bin").cast("long").alias("bin"), r6("density"), r6("cdf"))
+
+
+def sizes(spark, d):
+    """(n, s): an order's line count and sum of quantities serve as sizes to fit."""
+    line = read_table(spark, d, "lineitem").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").cast("double").alias("s"))
+    return line.select("n", "s")
+
+
+@query(Q.BINNED_LOGLOG)
+def binned_loglog(spark, d):
+    return stats.binned_means(sizes(spark, d), "n", "s", 8, log=True).select("bin", "cnt", r6("mean_x"), r6("mean_y"))
+
+
+@query(Q.LOGLOG_FIT)
+def loglog_fit(spark, d):
+    return stats.loglog_fit(sizes(spark, d), above=8).select(r6("slope"), r6("intercept"), r6("r"), r6("r2"))
+
+
+@query(Q.CBRT_FIT)
+def cbrt_fit(spark, d):
+    return stats.cbrt_fit(sizes(spark, d)).select(r6("slope"), r6("intercept"), r6("r2"))
+
+
+@query(Q.SQRT_FIT)
+def sqrt_fit(spark, d):
+    return stats.through_origin(sizes(spark, d), F.sqrt("n"), F.col("s")).select(r6("a"))
+
+
+@query(Q.CBRT_ORIGIN)
+def cbrt_origin_fit(spark, d):
+    return stats.through_origin(sizes(spark, d), F.cbrt("n"), F.col("s")).select(r6("a"))
+
+
+@query(Q.POWER_FIT)
+def power_fit(spark, d):
+    return stats.power_fit(sizes(spark, d), steps=20).select(r6("b"), F.round("a", 3).alias("a"), F.round("c", 3).alias("c"))
+
+
+@query(Q.BOX_BINS)
+def box_bins(spark, d):
+    return stats.box_bins(sizes(spark, d), "n", "s", 5).select("bin", "cnt", r6("q1"), r6("median"), r6("q3"))
+
+
+@query(Q.HIST2D)
+def hist2d(spark, d):
+    return stats.hist2d(pt(spark, d), "x", "y", 10)
+
+
+# traversal
+
+
+@query(Q.BFS + "SELECT d, count(*) AS cnt FROM dist GROUP BY d")
+def bfs_levels(spark, d):
+    g = bip_stored(spark, d)
+    return traverse.bfs(g, first_order(g)).groupBy("d").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+@query(Q.BFS + "SELECT (SELECT min(src) FROM e) AS source, id AS target, d FROM dist WHERE id = (SELECT max(src) FROM e)")
+def hop_distance(spark, d):
+    g = bip_stored(spark, d)
+    return traverse.hop_distance(g, first_order(g), g.vertices.agg(F.max("id")).first()[0])
+
+
+@query(Q.BFS + "SELECT id AS target, d FROM dist WHERE id > 1000000000000")
+def multi_target_hops(spark, d):
+    g = bip_stored(spark, d)
+    return traverse.multi_target_hops(g, first_order(g), g.vertices.where(F.col("id") > SUPPLIER))
+
+
+@query(Q.BFS + "SELECT id, d FROM dist WHERE d > 0 ORDER BY d, id LIMIT 500")
+def bounded_bfs(spark, d):
+    g = bip_stored(spark, d)
+    return traverse.bounded_bfs(g, first_order(g), 500)
+
+
+@query(Q.BFS + "SELECT id, d FROM dist ORDER BY d DESC, id DESC LIMIT 1")
+def furthest_vertex(spark, d):
+    g = bip_stored(spark, d)
+    return dia.furthest(traverse.bfs(g, first_order(g)))
+
+
+@query(Q.LATTICE.format(k=12) + Q.PATH)
+def path_nodes(spark, d):
+    return traverse.path_nodes(generate.lattice(spark, 12), 0, 143)
+
+
+@query(Q.LATTICE.format(k=8) + Q.ALL_PAIRS + "SELECT d, count(*) AS cnt FROM hops WHERE d > 0 GROUP BY d")
+def hop_histogram(spark, d):
+    g = generate.lattice(spark, 8)
+    return traverse.hop_histogram(g, g.vertices.select("id"))
+
+
+@query(Q.LATTICE.format(k=8) + Q.ALL_PAIRS + "SELECT max(d) AS diameter FROM hops")
+def all_bfs_diameter(spark, d):
+    return spark.createDataFrame([(dia.all_bfs_diameter(generate.lattice(spark, 8)),)], "diameter long")
+
+
+@query(Q.LATTICE.format(k=8) + Q.ALL_PAIRS + "SELECT max(d) AS diameter FROM hops")
+def ifub_diameter(spark, d):
+    return spark.createDataFrame([(dia.ifub_diameter(generate.lattice(spark, 8)),)], "diameter long")
+
+
+@query(Q.LATTICE.format(k=12) + Q.DOUBLE_SWEEP)
+def double_sweep(spark, d):
+    return dia.double_sweep(generate.lattice(spark, 12), 0).select(F.col("d").alias("length"))
+
+
+@query(Q.SSSP)
+def sssp(spark, d):
+    g = ud(spark, d, 0.05).weighted()
+    g = Graph(g.vertices, cut_plan(g.edges))
+    return traverse.sssp(g, g.vertices.agg(F.min("id")).first()[0]).select("id", r6("d"))
+
+
+def questions(g: Graph) -> DataFrame:
+    """One question for each edge u < v: is there a path of less than 1.5 times its length?"""
+    e = numbered(g.edge_lengths(), ["src", "dst"], "qid")
+    return e.select("qid", F.col("src").alias("u"), F.col("dst").alias("v"), (F.col("w") * 1.5).alias("bound"))
+
+
+@query(Q.DETOUR)
+def detour_ignoring_edge(spark, d):
+    g = ud(spark, d, 0.03).weighted()
+    g = Graph(g.vertices, cut_plan(g.edges))
+    return traverse.within_distance(g, cut_plan(questions(g)), ignore_edge=True)
+
+
+@query(Q.WITHIN)
+def within_distance(spark, d):
+    g = ud(spark, d, 0.03).weighted()
+    g = Graph(g.vertices, cut_plan(g.edges))
+    near = spatial.radius_join(g.vertices, g.vertices, 0.06).where("u < v")
+    asked = numbered(near, ["u", "v"], "qid").select("qid", "u", "v", (F.sqrt("d2") * 1.2).alias("bound"))
+    return traverse.within_distance(g, cut_plan(asked)).groupBy("within").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+# components and trees
+
+
+@query(Q.COMPONENTS.format(r=0.02) + "SELECT id, component FROM component")
+def connected_components(spark, d):
+    return comp.connected_components(ud(spark, d, 0.02))
+
+
+@query(Q.COMPONENTS.format(r=0.02) + "SELECT component, count(*) AS size FROM component GROUP BY component")
+def component_sizes(spark, d):
+    return comp.component_sizes(ud(spark, d, 0.02))
+
+
+@query(Q.COMPONENTS.format(r=0.02) + "SELECT count(DISTINCT component) <= 1 AS connected FROM component")
+def is_connected(spark, d):
+    return spark.createDataFrame([(comp.is_connected(ud(spark, d, 0.02)),)], "connected boolean")
+
+
+@query(Q.COMPONENTS.format(r=0.02) + "SELECT id FROM component WHERE component = (SELECT component FROM component GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)")
+def largest_component(spark, d):
+    return comp.largest_component(ud(spark, d, 0.02)).vertices.select("id")
+
+
+@query(Q.MINUS_SEPARATOR)
+def components_minus_separator(spark, d):
+    g = generate.lattice(spark, 9)
+    return comp.components_minus_separator(g, g.vertices.where("id % 9 = 4").select("id"))
+
+
+@query(Q.RNG + Q.MST)
+def mst_edges(spark, d):
+    p = pt_stored(spark, d)
+    e = proximity.with_points(proximity.delaunay_edges(p), p).select("src", "dst", F.sqrt("d2").alias("w"))
+    return mst.spanning_forest(e).select("src", "dst", r6("w"))
+
+
+@query(Q.RNG + Q.MST_WEIGHT)
+def mst_weight(spark, d):
+    p = pt_stored(spark, d)
+    e = proximity.with_points(proximity.delaunay_edges(p), p).select("src", "dst", F.sqrt("d2").alias("w"))
+    return mst.spanning_forest(e).agg(F.count(F.lit(1)).alias("edges"), F.round(F.sum("w"), 6).alias("weight"))
+
+
+@query(Q.TREE + "SELECT id, max(k) AS depth FROM up GROUP BY id")
+def tree_depth(spark, d):
+    return trees.depths(tree(spark, d)).select("id", "depth")
+
+
+@query(Q.TREE + "SELECT anc AS id, count(*) AS size FROM up GROUP BY anc")
+def subtree_sizes(spark, d):
+    return trees.subtree_sizes(tree(spark, d))
+
+
+def tree_pairs(spark, d):
+    """Each customer with the customer of twice its key, if there is one."""
+    c = read_table(spark, d, "customer").select((F.col("c_custkey") + 1000).alias("u"), (F.col("c_custkey") * 2 + 1000).alias("v"))
+    return c.join(c.select(F.col("u").alias("v")), "v", "left_semi").select("u", "v")
+
+
+@query(Q.TREE + Q.LCA.format(columns="u, v, lca"))
+def lca(spark, d):
+    return trees.lca(tree(spark, d), tree_pairs(spark, d)).select("u", "v", "lca")
+
+
+@query(Q.TREE + Q.LCA.format(columns="u, v, distance"))
+def tree_distance(spark, d):
+    return trees.lca(tree(spark, d), tree_pairs(spark, d)).select("u", "v", "distance")
+
+
+@query(Q.CONTRACT)
+def contract_degree2(spark, d):
+    """A lattice of which every edge is a path of three."""
+    k = 5
+    e = generate.lattice(spark, k).canonical()
+    mid = (F.col("src") * 1000 + F.col("dst") + 1000).alias("m")
+    g = Graph.from_edges(e.select("src", mid).toDF("src", "dst").union(e.select(mid, "dst").toDF("src", "dst")))
+    return comp.contract_degree2(g).canonical()
+
+
+# separators
+
+
+@query(Q.ORIENT)
+def orient_by_rank(spark, d):
+    order = spark.range(144).select(F.col("id").alias("node"), F.expr("(id * 77 + 5) % 144").alias("rank"))
+    return separator.orient_by_rank(generate.lattice(spark, 12), order)
+
+
+@query(Q.ELIMINATION)
+def elimination_tree(spark, d):
+    return separator.elimination_tree(generate.lattice(spark, 8), spark.range(64).select(F.col("id").alias("node"), F.expr("(id * 37 + 11) % 64").alias("rank"))).select("id", "parent")
+
+
+@query(Q.SEPARATORS)
+def separator_sizes(spark, d):
+    t = separator.elimination_tree(generate.lattice(spark, 16), lat_order(spark, 16))
+    return separator.separator_sizes(t).groupBy("n", "s").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+@query("SELECT 256 - 8 - 16 * i AS node, i AS step FROM range(16) r(i)")
+def top_level_separator(spark, d):
+    t = separator.elimination_tree(generate.lattice(spark, 16), lat_order(spark, 16))
+    return separator.top_level_separator(t).select("node", "step")
+
+
+@query()
+def nested_dissection(spark, d):
+    p = pt_stored(spark, d)
+    g = Graph.from_edges(cut_plan(proximity.delaunay_edges(p)), p)
+    return separator.nested_dissection(g)
+
+
+@query()
+def node_separators(spark, d):
+    p = pt_stored(spark, d)
+    g = Graph.from_edges(cut_plan(proximity.delaunay_edges(p)), p)
+    return separator.separate_recursively(g)
+
+
+@query()
+def separators_of_noise_graph(spark, d):
+    """The flagship chain: points, proximity graph, order, elimination tree, separator sizes."""
+    n = read_table(spark, d, "embeddings").count()
+    g = generate.noise_graph(spark, n, seed=7)
+    g = Graph(g.vertices, cut_plan(g.edges))
+    return separator.separator_sizes(separator.elimination_tree(g, separator.nested_dissection(g))).select("n", "s")
+
+
+# spanners
+
+
+@query()
+def prune_detours(spark, d):
+    p = pt_stored(spark, d)
+    return spanner.prune_detours(Graph.from_edges(cut_plan(proximity.delaunay_edges(p)), p), 2.0).canonical().select("src", "dst")
+
+
+@query()
+def greedy_spanner(spark, d):
+    p = pt_stored(spark, d)
+    return spanner.greedy_spanner(Graph.from_edges(cut_plan(proximity.delaunay_edges(p)), p), 2.0).canonical().select("src", "dst")
+
+
+# generators
+
+
+@query(Q.LATTICE.format(k=30) + "SELECT src, dst FROM e WHERE src < dst")
+def lattice(spark, d):
+    return generate.lattice(spark, 30).canonical()
+
+
+@query(Q.NESTED_GRID)
+def nested_grid(spark, d):
+    rows = [(w, k, *(stats.counts(generate.nested_grid(spark, w, k)).first()[0:2])) for w, k in ((3, 1), (3, 2), (4, 2), (4, 3))]
+    return spark.createDataFrame(rows, "width long, levels long, nodes long, edges long")
+
+
+@query(Q.CBRT_MAXIMAL)
+def cbrt_maximal(spark, d):
+    rows = [(n, *(stats.counts(generate.cbrt_maximal(spark, n)).first()[0:2])) for n in (2, 3, 10, 100, 2000)]
+    return spark.createDataFrame(rows, "n long, nodes long, edges long")
+
+
+@query(Q.BASE_LATTICE)
+def sparse_base_grid(spark, d):
+    return generate.base_lattice(spark, (2, 2), (6, 6), 2)
+
+
+@query()
+def sparse_nested_grid(spark, d):
+    return generate.sparse_nested_grid(spark, [5, 4], 4, seed=1).canonical()
+
+
+@query()
+def cbrt_grid(spark, d):
+    return generate.cbrt_grid(spark, 4, 2, seed=1).canonical()
+
+
+@query()
+def random_points(spark, d):
+    n = read_table(spark, d, "embeddings").count()
+    a = generate.points_in_disk(spark, n, seed=1).withColumn("kind", F.lit("disk"))
+    b = generate.points_in_rectangle(spark, n, 0, 0, 2, 1, seed=1).withColumn("kind", F.lit("rectangle"))
+    c = generate.normal_points(spark, n, seed=1).withColumn("kind", F.lit("normal"))
+    e = generate.points_in_polygon(spark, n, list(zip(*Q.POLYGON, strict=True)), seed=1).withColumn("kind", F.lit("polygon"))
+    return a.union(b).union(c).union(e)
+
+
+@query()
+def noise_points(spark, d):
+    return generate.noise_points(spark, read_table(spark, d, "embeddings").count(), seed=3)
+
+
+@query()
+def hierarchical_points(spark, d):
+    return generate.hierarchical_points(spark, 50, [(0.5, 4, 0.1), (0.3, 4, 0.02)], seed=2)
+
+
+@query()
+def hierarchical_disks(spark, d):
+    return generate.hierarchical_disks(spark, [(20, 1.0), (6, 0.05)], seed=2).canonical()
+
+
+@query()
+def random_tree(spark, d):
+    return generate.random_tree(spark, read_table(spark, d, "customer").count(), seed=5).canonical()
+
+
+@query()
+def no_locality(spark, d):
+    return generate.no_locality(spark, 500, 625, seed=5).canonical()
+
+
+@query()
+def tree_locality(spark, d):
+    return generate.tree_locality(spark, 300, 375, seed=5).canonical()
+
+
+@query()
+def geometric_locality(spark, d):
+    return generate.geometric_locality(spark, 500, 625, seed=5).canonical()
+
+
+@query()
+def spatial_tree_3d(spark, d):
+    return generate.spatial_tree_3d(spark, 500, seed=5).canonical()
+
+
+@query()
+def kernel_families(spark, d):
+    """Sizes of samples of the kernel families, one task each."""
+    out = None
+    for name in ("grid_degrees", "bridged", "voronoi", "highway"):
+        rows = generate.sampled_family(spark, name, spark.range(3).select(F.col("id").alias("run_id"), F.lit(800).cast("long").alias("size"), F.col("id").alias("seed"))).withColumn("family", F.lit(name))
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+@query()
+def remove_random_edges(spark, d):
+    g = bip(spark, d)
+    return g.remove_random_edges(1000, 7).canonical()
+
+
+@query("SELECT * FROM (VALUES (0,1),(1,2),(2,3),(0,3),(3,4),(4,5),(5,6),(6,7),(7,8),(5,8)) t(src, dst)")
+def example_graph(spark, d):
+    return examples.lollipop(spark).canonical()

@@ -39,6 +39,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_plan(df: DataFrame) -> DataFrame:
+    """cut_lineage for loops: the result's plan knows rows and schema only.
+
+    A checkpoint otherwise keeps the constraints, partitioning and ordering of its plan, and in loops of joins and CASE
+    expressions those grow from round to round until planning takes longer than the work.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    jdf = df._jdf
+    bare = spark._jsparkSession.internalCreateDataFrame(jdf.queryExecution().toRdd(), jdf.schema(), False)
+    return DataFrame(bare, spark).checkpoint(eager=True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Like cut_lineage, by a Parquet table in the shared folder: for small results of loops, read with file statistics."""
     spark = df.sparkSession

@@ -10,6 +10,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.geometry import in_polygon, uniform
 from ..operators.components import largest_component
@@ -18,8 +19,9 @@ from ..operators.mst import spanning_forest
 from ..operators.proximity import delaunay_edges, rng_edges, with_points
 from ..operators.spatial import radius_join
 from ..operators.spanner import prune_detours
-from ..runtime import cut_lineage
+from ..runtime import cut_plan
 from . import kernels
+from .kernels import super_grid_width
 
 # points
 
@@ -67,7 +69,7 @@ def hierarchical_points(spark: SparkSession, n: int, levels: list[tuple[float, i
         d, a = r * F.sqrt(uniform(seed + level, "id", "i", draw=1)), 2 * math.pi * uniform(seed + level, "id", "i", draw=2)
         # ids: level in front of the centre's id and the slot, so that they need no global numbering
         new = slot.select((F.xxhash64(F.lit(level), "id", "i").bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 61)).alias("id"), (F.col("x") + d * F.cos(a)).alias("x"), (F.col("y") + d * F.sin(a)).alias("y"))
-        out = cut_lineage(out.union(new))
+        out = cut_plan(out.union(new))
         size += m * k
     return out
 
@@ -83,7 +85,7 @@ def noise_points(spark: SparkSession, n: int, scales: list[float] | None = None,
         c = c.select("id", (r * F.cos(a)).alias("x"), (r * F.sin(a)).alias("y"))
         if corners:
             c = points_in_polygon(spark, size, corners, seed + start).withColumn("id", F.col("id") + start)
-        kept = cut_lineage(c.where(kernels.noise_accepts(F.col("x"), F.col("y"), uniform(seed, "id", draw=2), scales, seed)))
+        kept = cut_plan(c.where(kernels.noise_accepts(F.col("x"), F.col("y"), uniform(seed, "id", draw=2), scales, seed)))
         found = kept if found is None else found.union(kept)
         if found.count() >= n:
             return found.orderBy("id").limit(n)
@@ -131,24 +133,35 @@ def base_lattice(spark: SparkSession, lo: tuple[int, int], hi: tuple[int, int],
     return along.union(up)
 
 
-def super_grid_width(size: int, count: int) -> int:
-    """The largest w with w^3 <= (size of a cell's content) count + w^2, found from the cubic's root."""
-    return kernels.super_grid_width(size, count)
+def sparse_nested_grid(spark: SparkSession, counts: list[int], bottom_width: int, seed: int = 0) -> Graph:
+    """Lattices within cells of lattices: counts[k] random cells of each lattice of level k + 1 hold one of level k each.
 
-
-def sparse_nested_grid(spark: SparkSession, width: int, levels: int, share: float, seed: int = 0) -> Graph:
-    """A lattice of which a random share of cells is refined by a lattice half as wide apart, levels deep; vertices with equal coordinates are one."""
-    side = 2 ** (levels - 1)
-    edges = base_lattice(spark, (0, 0), (width * side, width * side), side)
-    cells = spark.range(width).select((F.col("id") * side).alias("x")).crossJoin(spark.range(width).select((F.col("id") * side).alias("y")))
-    for level in range(1, levels):
-        half = side // 2
-        chosen = cells.where(uniform(seed + level, "x", "y") < share)
-        cut = chosen.select(F.explode(F.array(*(F.struct((F.col("x") + a).alias("ux"), (F.col("y") + b).alias("uy"), (F.col("x") + c).alias("vx"), (F.col("y") + d).alias("vy")) for a, b, c, d in kernels.quarter_edges(half)))).alias("e")).select("e.*")
-        edges = edges.union(cut)
-        cells = chosen.select(F.explode(F.array(*(F.struct((F.col("x") + a).alias("x"), (F.col("y") + b).alias("y")) for a in (0, half) for b in (0, half)))).alias("c")).select("c.*")
-        side = half
-    return Graph.from_coordinate_edges(edges)
+    The lowest level's lattices are bottom_width wide; the width above is such that its cube is about the number of
+    vertices. All levels share one integer grid, so vertices with equal coordinates are one.
+    """
+    widths, sizes = [bottom_width], [bottom_width**2]
+    for c in counts:
+        widths.append(super_grid_width(sizes[-1], c))
+        sizes.append(c * sizes[-1] + widths[-1] ** 2)
+    side = 1
+    for w in widths:
+        side *= w - 1
+    cells = spark.createDataFrame([(0, 0)], "x long, y long")
+    edges = None
+    for level in range(len(widths) - 1, -1, -1):
+        w = widths[level]
+        step = side // (w - 1)
+        at = cells.select("x", "y", F.explode(F.sequence(F.lit(0), F.lit(w - 1))).alias("i")).select("x", "y", "i", F.explode(F.sequence(F.lit(0), F.lit(w - 1))).alias("j"))
+        px, py = F.col("x") + F.col("i") * step, F.col("y") + F.col("j") * step
+        right = at.where(F.col("i") < w - 1).select(px.alias("ux"), py.alias("uy"), (px + step).alias("vx"), py.alias("vy"))
+        up = at.where(F.col("j") < w - 1).select(px.alias("ux"), py.alias("uy"), px.alias("vx"), (py + step).alias("vy"))
+        edges = right.union(up) if edges is None else edges.union(right).union(up)
+        if level:
+            order = Window.partitionBy("x", "y").orderBy(uniform(seed + level, "x", "y", "i", "j"), "i", "j")
+            chosen = at.where((F.col("i") < w - 1) & (F.col("j") < w - 1)).withColumn("r", F.row_number().over(order)).where(F.col("r") <= counts[level - 1])
+            cells = cut_plan(chosen.select(px.alias("x"), py.alias("y")))
+        side = step
+    return Graph.from_coordinate_edges(cut_plan(edges))
 
 
 def cbrt_grid(spark: SparkSession, block: int, doublings: int, seed: int = 0) -> Graph:
@@ -165,7 +178,7 @@ def cbrt_grid(spark: SparkSession, block: int, doublings: int, seed: int = 0) ->
         far = other.select(F.col("id").alias("dst"), F.col("x").alias("fx"), F.col("y").alias("fy"))
         bridge = border.join(far, (F.col("fx") == F.col("x") + (1 if across else 0)) & (F.col("fy") == F.col("y") + (0 if across else 1))).select(F.col("id").alias("src"), "dst")
         copy = g.edges.select(F.col("src") + n, F.col("dst") + n)
-        g = Graph(cut_lineage(g.vertices.union(other)), cut_lineage(g.edges.select("src", "dst").union(copy).union(bridge).union(swapped(bridge))))
+        g = Graph(cut_plan(g.vertices.union(other)), cut_plan(g.edges.select("src", "dst").union(copy).union(bridge).union(swapped(bridge))))
         w, h = (2 * w, h) if across else (w, 2 * h)
     return g
 
@@ -191,7 +204,7 @@ def _extra_pairs(g: Graph, wanted: int, seed: int) -> DataFrame:
 def no_locality(spark: SparkSession, n: int, m: int, seed: int = 0) -> Graph:
     """A random tree and uniform extra edges up to m."""
     t = random_tree(spark, n, seed)
-    return t.add_edges(cut_lineage(_extra_pairs(t, m - (n - 1), seed + 1)))
+    return t.add_edges(cut_plan(_extra_pairs(t, m - (n - 1), seed + 1)))
 
 
 def tree_locality(spark: SparkSession, n: int, m: int, seed: int = 0, power: float = -3.0, bound: int | None = None) -> Graph:
@@ -207,27 +220,27 @@ def tree_locality(spark: SparkSession, n: int, m: int, seed: int = 0, power: flo
     d = multi_bfs(t, starts.select(F.col("source").alias("id")).distinct(), max_hops=bound).where("d > 1")
     race = starts.join(d, "source").withColumn("key", -F.log(1 - uniform(seed + 2, "draw", "id")) / F.pow(F.col("d").cast("double"), F.lit(power)))
     best = race.groupBy("draw", "source").agg(F.min(F.struct("key", "id")).alias("b")).select(F.col("source").alias("src"), F.col("b.id").alias("dst"))
-    return t.add_edges(cut_lineage(best.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()))
+    return t.add_edges(cut_plan(best.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()))
 
 
 def geometric_locality(spark: SparkSession, n: int, m: int, seed: int = 0) -> Graph:
     """Euclidean spanning tree of random points and random extra pairs no farther apart than its longest edge, up to m."""
-    p = cut_lineage(points_in_rectangle(spark, n, 0, 0, 1, 1, seed))
-    tree = cut_lineage(spanning_forest(with_points(delaunay_edges(p), p).select("src", "dst", F.sqrt("d2").alias("w"))))
+    p = cut_plan(points_in_rectangle(spark, n, 0, 0, 1, 1, seed))
+    tree = cut_plan(spanning_forest(with_points(delaunay_edges(p), p).select("src", "dst", F.sqrt("d2").alias("w"))))
     longest = tree.agg(F.max("w")).first()[0] or 0.0
     near = radius_join(p, p, longest).where("u < v").select(F.col("u").alias("src"), F.col("v").alias("dst")).join(tree, ["src", "dst"], "left_anti")
     extra = near.withColumn("o", uniform(seed + 1, "src", "dst")).orderBy("o", "src", "dst").limit(max(0, m - (n - 1))).select("src", "dst")
-    return Graph.from_edges(cut_lineage(tree.select("src", "dst").union(extra)), p)
+    return Graph.from_edges(cut_plan(tree.select("src", "dst").union(extra)), p)
 
 
 def spatial_tree_3d(spark: SparkSession, n: int, factor: float = 1.25, seed: int = 0) -> Graph:
     """Spanning forest of random points in the unit cube over pairs within twice the expected longest tree edge, and random further such pairs up to floor(factor n) edges."""
     p = spark.range(n).select("id", _u(seed, 0).alias("x"), _u(seed, 1).alias("y"), _u(seed, 2).alias("z"))
     r = 2 * (math.log(max(n, 2)) / (4 / 3 * math.pi * max(n, 2))) ** (1 / 3)
-    pairs = cut_lineage(radius_join(p, p, r, ("x", "y", "z")).where("u < v").select(F.col("u").alias("src"), F.col("v").alias("dst"), F.sqrt("d2").alias("w")))
-    tree = cut_lineage(spanning_forest(pairs))
+    pairs = cut_plan(radius_join(p, p, r, ("x", "y", "z")).where("u < v").select(F.col("u").alias("src"), F.col("v").alias("dst"), F.sqrt("d2").alias("w")))
+    tree = cut_plan(spanning_forest(pairs))
     extra = pairs.join(tree, ["src", "dst"], "left_anti").withColumn("o", uniform(seed + 1, "src", "dst")).orderBy("o", "src", "dst").limit(max(0, int(factor * n) - tree.count())).select("src", "dst")
-    return Graph.from_edges(cut_lineage(tree.select("src", "dst").union(extra)), p)
+    return Graph.from_edges(cut_plan(tree.select("src", "dst").union(extra)), p)
 
 
 # families that combine these
@@ -235,13 +248,13 @@ def spatial_tree_3d(spark: SparkSession, n: int, factor: float = 1.25, seed: int
 
 def noise_graph(spark: SparkSession, n: int, seed: int = 0) -> Graph:
     """Relative-neighbour graph (Delaunay witnesses) of noise points."""
-    p = cut_lineage(noise_points(spark, n, seed=seed))
+    p = cut_plan(noise_points(spark, n, seed=seed))
     return Graph.from_edges(rng_edges(p), p)
 
 
 def hierarchical_graph(spark: SparkSession, n: int, levels: list[tuple[float, int, float]], kind: str = "delaunay", stretch: float = 4.0, degree: float = 2.5, seed: int = 0) -> Graph:
     """Delaunay, rng, pruned (detours) or thinned (random edges) graph of hierarchical points."""
-    p = cut_lineage(hierarchical_points(spark, n, levels, seed=seed))
+    p = cut_plan(hierarchical_points(spark, n, levels, seed=seed))
     g = Graph.from_edges(rng_edges(p) if kind == "rng" else delaunay_edges(p), p)
     if kind == "pruned":
         return prune_detours(g, stretch)
@@ -254,7 +267,7 @@ def hierarchical_disks(spark: SparkSession, levels: list[tuple[int, float]], see
     k0, r0 = levels[0]
     at = points_in_disk(spark, k0, r0, seed=seed).withColumn("centre", F.lit(-1).cast("long"))
     for level, (k, r) in enumerate([*levels[1:], (0, 0.0)], 1):
-        at = cut_lineage(at)
+        at = cut_plan(at)
         edges.append(at.groupBy("centre").applyInArrow(kernels.delaunay_of_group, "ux double, uy double, vx double, vy double"))
         if not k:
             break
@@ -266,16 +279,16 @@ def hierarchical_disks(spark: SparkSession, levels: list[tuple[int, float]], see
     out = edges[0]
     for e in edges[1:]:
         out = out.union(e)
-    return Graph.from_coordinate_edges(cut_lineage(out), 1e12)
+    return Graph.from_coordinate_edges(cut_plan(out), 1e12)
 
 
 def sampled_family(spark: SparkSession, name: str, params: DataFrame) -> DataFrame:
-    """(run_id, n, m) for rows (run_id, size, seed): graphs of a kernel family ('grid_degrees', 'bridged', 'voronoi', 'highway', 'planar'), one task each."""
+    """(run_id, n, m) for rows (run_id, size, seed): graphs of a kernel family ('grid_degrees', 'bridged', 'voronoi', 'highway'), one task each."""
     return params.select("run_id", "size", "seed").repartition("run_id").mapInArrow(kernels.family_counts(name), "run_id long, n long, m long")
 
 
 def kernel_graph(spark: SparkSession, name: str, size: int, seed: int = 0) -> Graph:
     """One graph of a kernel family, made in one task: (id, x, y) and edges."""
-    made = cut_lineage(spark.createDataFrame([(0, size, seed)], "run_id long, size long, seed long").mapInArrow(kernels.family_rows(name), "kind int, a long, b long, x double, y double"))
+    made = cut_plan(spark.createDataFrame([(0, size, seed)], "run_id long, size long, seed long").mapInArrow(kernels.family_rows(name), "kind int, a long, b long, x double, y double"))
     v = made.where("kind = 0").select(F.col("a").alias("id"), "x", "y")
     return Graph.from_edges(made.where("kind = 1").select(F.col("a").alias("src"), F.col("b").alias("dst")), v)
