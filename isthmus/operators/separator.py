@@ -217,16 +217,20 @@ def _line_order(adj: list[list[int]], xy: np.ndarray | None, k: int) -> list[int
 
 
 def inertial_separator(adj: list[list[int]], xy: np.ndarray | None, imbalance: float = 0.33) -> list[int]:
-    """The smallest of the least cuts between the first and last quarters along some directions, among those with parts of at most (1 + imbalance) / 2 of the vertices; else the smallest part decides."""
+    """The smallest of the least cuts between the first and last shares (a quarter and more) along some directions, among those with parts of at most (1 + imbalance) / 2 of the vertices; else the smallest largest part decides."""
     n, best = len(adj), None
-    quarter = max(1, n // 4)
     for k in range(4 if xy is not None else 1):
         order = _line_order(adj, xy, k)
-        cut = min_vertex_cut(adj, order[:quarter], order[-quarter:])
-        largest = max((len(p) for p in _parts_without(adj, set(cut))), default=0)
-        score = (largest > (1 + imbalance) / 2 * n, len(cut), largest)
-        if best is None or score < best[0]:
-            best = (score, cut)
+        for share in (0.25, 0.35, 0.45):
+            end = max(1, int(n * share))
+            cut = min_vertex_cut(adj, order[:end], order[-end:])
+            largest = max((len(p) for p in _parts_without(adj, set(cut))), default=0)
+            fits = largest <= (1 + imbalance) / 2 * n
+            score = (not fits, len(cut) if fits else largest, largest)
+            if best is None or score < best[0]:
+                best = (score, cut)
+            if fits:
+                break
     return best[1] if best else []
 
 

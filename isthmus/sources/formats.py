@@ -176,8 +176,7 @@ def read_binary_vector(spark: SparkSession, path: str, kind: str = "I") -> DataF
     size = spark.read.format("binaryFile").option("pathGlobFilter", "*").load(path).select("length").first()[0]
     if size % width:
         raise ValueError(f"{path}: {size} bytes are no whole number of {width}-byte values")
-    code = struct.Struct("<" + kind)
-    rows = spark.sparkContext.binaryRecords(path, width).zipWithIndex().map(lambda r: (r[1], code.unpack(bytes(r[0]))[0]))
+    rows = spark.sparkContext.binaryRecords(path, width).zipWithIndex().map(lambda r: (r[1], struct.unpack("<" + kind, bytes(r[0]))[0]))
     return spark.createDataFrame(rows, f"pos long, value {'double' if kind in 'fd' else 'long'}")
 
 
