@@ -267,7 +267,7 @@ def verified_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, thr
             sig, copies = _signatures(table), table["copies"].to_numpy()
             own, crossed = table["own"].to_numpy(), table["i"].to_numpy() != table["j"].to_numpy()
             links, forest = np.zeros(len(node), np.int64), Forest(len(node))
-            bodies, sets = table["body"], {}
+            bodies = table["body"]
             starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
             for lo, hi in zip(starts, np.r_[starts[1:], len(node)], strict=True):
                 sets = {k: gram_set(bodies[k].as_py()) for k in range(lo, hi)}
@@ -283,10 +283,9 @@ def verified_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, thr
                     forest.join(np.full(len(far), k), far)
             ends = np.array(forest.edges, np.int64).reshape(-1, 2)
             some = np.flatnonzero(links)
-            none = np.zeros(len(some), bool)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.r_[node[some], node[ends[:, 0]]]), pa.array(np.r_[links[some], np.zeros(len(ends), np.int64)]), pa.array(np.r_[node[some], node[ends[:, 1]]], mask=np.r_[~none, np.zeros(len(ends), bool)])], schema=out
-            )
+            no_peer = np.arange(len(some) + len(ends)) < len(some)
+            columns = np.r_[node[some], node[ends[:, 0]]], np.r_[links[some], np.zeros(len(ends), np.int64)], np.r_[node[some], node[ends[:, 1]]]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2], mask=no_peer)], schema=out)
 
     return _dealt(full, "component", "size", "node", block).mapInArrow(verify, schema)
 
