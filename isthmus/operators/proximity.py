@@ -121,8 +121,8 @@ def _kernel(box: tuple, side: float, per_side: int, halo: float):  # noqa: ANN20
         good = tri[final & is_open[a] & is_open[b] & is_open[c]] if not is_open.all() else tri[final]
         e = np.concatenate([good[:, [0, 1]], good[:, [1, 2]], good[:, [2, 0]]])
         e = np.unique(np.c_[np.minimum(ids[e[:, 0]], ids[e[:, 1]]), np.maximum(ids[e[:, 0]], ids[e[:, 1]])], axis=0).reshape(-1, 2)
-        none_e, none_s = np.ones(len(e), bool), np.ones(len(settled), bool)
-        return pa.table({"src": pa.array(np.r_[e[:, 0], settled], mask=np.r_[~none_e, none_s]), "dst": pa.array(np.r_[e[:, 1], settled], mask=np.r_[~none_e, none_s]), "settled": pa.array(np.r_[e[:, 0], settled], mask=np.r_[none_e, ~none_s])})
+        is_edge = np.arange(len(e) + len(settled)) < len(e)
+        return pa.table({"src": pa.array(np.r_[e[:, 0], settled], mask=~is_edge), "dst": pa.array(np.r_[e[:, 1], settled], mask=~is_edge), "settled": pa.array(np.r_[e[:, 0], settled], mask=is_edge)})
 
     return run
 

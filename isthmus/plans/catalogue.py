@@ -633,7 +633,7 @@ def prune_detours(spark, d):
 @query()
 def greedy_spanner(spark, d):
     p = pt_stored(spark, d)
-    return spanner.greedy_spanner(Graph.from_edges(cut_plan(proximity.delaunay_edges(p)), p), 2.0).canonical().select("src", "dst")
+    return spanner.greedy_spanner(Graph.from_edges(cut_plan(proximity.delaunay_edges(p)), p), 4.0).canonical().select("src", "dst")
 
 
 # generators
