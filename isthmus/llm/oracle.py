@@ -29,7 +29,29 @@ FROM d LEFT JOIN words USING (r) LEFT JOIN named USING (r)
 
 OP4 = scan_sql()
 
+OP8 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), grams AS (
+  SELECT DISTINCT r, array_to_string(w[k : k + least(len(w), 5) - 1], ' ') AS gram FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM d WHERE len(w) > 0)
+), sizes AS (
+  SELECT r, count(*) AS n FROM grams GROUP BY r
+), common AS (
+  SELECT a.r AS a, b.r AS b, count(*) AS c FROM grams a JOIN grams b ON a.gram = b.gram AND a.r <> b.r GROUP BY a.r, b.r
+), links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b WHERE 5 * c >= 4 * (x.n + y.n - c)
+), reach(r, other) AS (
+  SELECT r, r FROM d UNION SELECT reach.r, links.b FROM reach JOIN links ON reach.other = links.a
+), class AS (
+  SELECT reach.r, min(o.doc_id) AS class_id, count(*) AS n_class FROM reach JOIN d o ON o.r = reach.other GROUP BY reach.r
+), counts AS (
+  SELECT a AS r, count(*) AS n_links FROM links GROUP BY a
+)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, n_class FROM d JOIN class USING (r) LEFT JOIN counts USING (r)
+"""
+
 SQL: dict[str, str] = {
     "op1_decontamination": OP1,
     "op4_licenses": OP4,
+    "op8_jaccard": OP8,
 }
