@@ -6,8 +6,9 @@ at a sentence, or that ends at one; so every sentence of a repeated passage that
 Runs are hashed to 128 bits and joined globally. The first run of a hash is that with the smallest (doc_id, text hash,
 position); sentences covered by any other are removed.
 
-Counts and firsts are pre-aggregated before their shuffle and the join's large side can be split, so a run that a third
-of all documents share doesn't gather in a task.
+Halves of hashes are counted first, then only runs whose half occurs again are looked at. Counts and firsts are pre-aggregated before
+their shuffle and the joins' large sides can be split, so a run that a third of all documents share doesn't gather in a
+task.
 
 Defined results: null texts and texts too short for a run have nothing to remove; null ids come first; rows repeated with
 one id and text are one document and fare alike; a passage repeated within a text goes as well; an empty table gives no
@@ -26,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import stored
 from .text import WORD, arrow_schema, fold_words, pieces
 
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*\n?")
@@ -104,8 +106,11 @@ def repeated_spans(docs: DataFrame, sentences: int = 3, words: int = 20, longest
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (k1, k2, ids, ths, pos)], schema=out)
 
     runs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("body")).mapInArrow(hashed, schema)
-    firsts = runs.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "pos")).alias("first")).where("n > 1").select("k1", "k2", "first")
-    later = runs.join(firsts, ["k1", "k2"]).where("NOT (doc_id <=> first.doc_id AND th = first.th AND pos = first.pos)")
+    # stored, so that each join below has exchanges of its own, whose partitions of a hot hash Spark can split
+    often = stored(runs.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k1"))
+    shared = stored(runs.join(often, "k1", "left_semi"))
+    firsts = stored(shared.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "th", "pos")).alias("first")))
+    later = shared.join(firsts, ["k1", "k2"]).where("NOT (doc_id <=> first.doc_id AND th = first.th AND pos = first.pos)")
     return later.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("spans"), F.collect_set("first.doc_id").alias("sources"))
 
 
