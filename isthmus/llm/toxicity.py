@@ -1,9 +1,11 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
 P(grade >= k) = sigmoid(w x - c_k) with one weight vector for all ordered thresholds c_1 < c_2 < ...; the expected
-severity is the sum of these probabilities. Features are hashed words, present or not, chosen by their counts over all
-labelled documents. Given labels only say toxic or not, so the grades of toxic ones come from how many different words
-that mark toxic texts they use: grade 1 up to the first third of those that use any, 2 and 3 above.
+severity is the sum of these probabilities. Features are hashed words and beginnings of words, present or not, chosen by
+their counts over all labelled documents: each that occurs so much oftener in toxic ones that chance doesn't explain it,
+however small its share of them, so that words of rare languages and kinds count as well. Given labels only say toxic or
+not, so the grades of toxic ones come from how many different words among the features they use: grade 1 up to the first third of those
+that use any, 2 and 3 above.
 
 Defined results: a null or wordless text has no features and gets the severity of the thresholds alone; labels that are
 null don't count, a document labelled twice is toxic if one label says so; without labels of both kinds nothing is
@@ -24,10 +26,17 @@ from ..runtime import cut_lineage
 from .text import arrow_schema, fold_words, per_batch, pieces
 
 BUCKETS, GRADES = 1 << 20, 3
+#: Lengths in bytes of the beginnings of longer words.
+BEGINNINGS = (4, 5, 6, 7, 8)
 
 
-def buckets(words: list[bytes]) -> list[int]:
-    return [zlib.crc32(w) % BUCKETS for w in words]
+def buckets(text: str | None) -> set[int]:
+    """Buckets of a text's words (even) and of their beginnings (odd)."""
+    words = set(fold_words(text))
+    out = {zlib.crc32(w) % BUCKETS & ~1 for w in words}
+    for n in BEGINNINGS:
+        out.update([zlib.crc32(w, n) % BUCKETS | 1 for w in {w[:n] for w in words if len(w) > n}])
+    return out
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most_broadcast: int, doc_id: str, text: str) -> DataFrame:
@@ -65,7 +74,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for part in pieces(batch):
                 for toxic, weight, body in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    totals[0 if toxic else 1, list(set(buckets(list(set(fold_words(body))))))] += weight
+                    totals[0 if toxic else 1, list(buckets(body))] += weight
         some = np.flatnonzero(totals.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(totals[0, some]), pa.array(totals[1, some])], schema=out)
 
@@ -82,22 +91,22 @@ class ToxicityModel:
     def at_least(self, text: str | None) -> np.ndarray:
         """P(grade >= k) for k from 1."""
         get = self.weights.get
-        known = sorted({b for b in buckets(list(set(fold_words(text)))) if b in self.weights})
+        known = sorted(b for b in buckets(text) if b in self.weights)
         z = sum(get(b, 0.0) for b in known)
         return 1 / (1 + np.exp(-np.clip(z - self.cuts, -50, 50)))
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, weight: np.ndarray, penalty: float = 3e-5, rounds: int = 2000) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ordered cuts that maximise the penalised likelihood; cuts are a start and positive gaps, so they stay in order."""
-    n, d = x.shape
+def fit_ordinal(row: np.ndarray, column: np.ndarray, expected: np.ndarray, grade: np.ndarray, weight: np.ndarray, penalty: float = 3e-5, rounds: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ordered cuts that maximise the likelihood, penalised by the distance from the expected weights; cuts are a start and positive gaps, so they stay in order. Document row[i] has feature column[i]."""
+    n, d = len(grade), len(expected)
     weight = weight / weight.sum()
     at = np.array([weight[grade >= k].sum() for k in range(1, GRADES + 1)]).clip(1e-4, 1 - 1e-4)
     start = -np.log(at / (1 - at))
-    p = np.r_[np.zeros(d), start[0], np.log(np.maximum(np.diff(start), 0.05))]
+    p = np.r_[expected, start[0], np.log(np.maximum(np.diff(start), 0.05))]
     m, v = np.zeros_like(p), np.zeros_like(p)
     for t in range(1, rounds + 1):
         cuts = p[d] + np.r_[0, np.exp(p[d + 1 :]).cumsum()]
-        z = x @ p[:d]
+        z = np.bincount(row, p[column], n)
         up = np.c_[np.ones(n), 1 / (1 + np.exp(-np.clip(z[:, None] - cuts, -50, 50))), np.zeros(n)]
         rows = np.arange(n)
         hi, lo = up[rows, grade], up[rows, grade + 1]
@@ -109,14 +118,14 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, weight: np.ndarray, penalty: f
         gc[rows, grade + 1] -= dlo / prob
         gcut = weight @ gc[:, 1:-1]
         gaps = np.exp(p[d + 1 :])
-        g = np.r_[x.T @ (weight * gz) + penalty * p[:d], gcut.sum(), [gcut[k + 1 :].sum() * gaps[k] for k in range(GRADES - 1)]]
+        g = np.r_[np.bincount(column, (weight * gz)[row], d) + penalty * (p[:d] - expected), gcut.sum(), [gcut[k + 1 :].sum() * gaps[k] for k in range(GRADES - 1)]]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p = p - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return p[:d], p[d] + np.r_[0, np.exp(p[d + 1 :]).cumsum()]
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, words: int = 1000, min_toxic: int = 5, min_share: float = 0.08, min_lift: float = 10.0, most_broadcast: int = 2_000_000, doc_id: str = "doc_id", text: str = "text") -> ToxicityModel:
-    """Words count as features if they are in min_toxic toxic documents and in min_share of their weight, min_lift times as often as elsewhere. The counts cover all labelled documents; the regression is fitted on a hash sample of about fit_rows of them."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, words: int = 50_000, min_toxic: int = 5, min_lift: float = 10.0, min_surprise: float = 15.0, most_broadcast: int = 2_000_000, doc_id: str = "doc_id", text: str = "text") -> ToxicityModel:
+    """Words and beginnings count as features if they are in min_toxic toxic documents, min_lift times as often as elsewhere, and the likelihood ratio (G2) against equal shares is min_surprise; the `words` strongest are the most that the driver takes. The counts cover all labelled documents; the regression is fitted on a hash sample of about fit_rows of them."""
     none = ToxicityModel({}, np.full(GRADES, 50.0))
     rows = labelled(docs, labels, most_broadcast, doc_id, text)
     sizes = {bool(r[0]): r[1] for r in rows.groupBy(F.col("toxic") > 0).agg(F.sum("weight")).collect()}
@@ -124,30 +133,30 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, wor
         return none
     toxic, other = sizes[True], sizes[False]
     lift = ((F.col("toxic") + 0.5) / toxic) / ((F.col("other") + 0.5) / other)
-    chosen = word_counts(rows).where(F.col("toxic") >= max(min_toxic, min_share * toxic)).withColumn("lift", lift).where(F.col("lift") >= min_lift).withColumn("value", F.log("lift") * F.sqrt("toxic")).orderBy(F.desc("value"), "bucket").limit(words).collect()
+    share = toxic / (toxic + other)
+    seen = F.col("toxic") + F.col("other")
+    surprise = 2 * (F.col("toxic") * F.log(F.col("toxic") / (seen * share)) + F.when(F.col("other") > 0, F.col("other") * F.log(F.col("other") / (seen * (1 - share)))).otherwise(0.0))
+    chosen = word_counts(rows).where(F.col("toxic") >= min_toxic).withColumn("lift", lift).where((F.col("lift") >= min_lift) & (surprise >= min_surprise)).withColumn("value", F.log("lift") * F.sqrt("toxic")).orderBy(F.desc("value"), "bucket").limit(words).collect()
     if not chosen:
         return none
     place = {r.bucket: i for i, r in enumerate(chosen)}
-    strong = {r.bucket for r in chosen if r.toxic >= 0.1 * toxic} or {r.bucket for r in chosen[:10]}
     part = min(1.0, fit_rows / rows.count())
     sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 31)) < int(part * (1 << 31)))
 
     def look(marks: list, weights: list, bodies: list) -> dict:
-        sets = [set(buckets(list(set(fold_words(t))))) for t in bodies]
-        used = [sorted(place[x] for x in s if x in place) for s in sets]
-        return {"toxic": [int(m > 0) for m in marks], "weight": weights, "used": used, "strong": [len(s & strong) for s in sets]}
-
-    got = per_batch(sample, ["toxic", "weight", "body"], look, "toxic int, weight double, used array<int>, strong int").collect()
-    x = np.zeros((len(got), len(place)), np.float64)
-    for i, r in enumerate(got):
-        x[i, r.used] = 1
-    marks, many = np.array([r.toxic for r in got], int), np.array([r.strong for r in got], int)
+        used = [sorted(place[x] for x in buckets(t) if x in place) for t in bodies]
+        return {"toxic": [int(m > 0) for m in marks], "weight": weights, "used": used}
+
+    got = per_batch(sample, ["toxic", "weight", "body"], look, "toxic int, weight double, used array<int>").collect()
+    row, column = np.repeat(np.arange(len(got)), [len(r.used) for r in got]), np.array([x for r in got for x in r.used], int)
+    word = np.array([r.bucket % 2 == 0 for r in chosen])
+    marks, many = np.array([r.toxic for r in got], int), np.bincount(row, word[column], len(got))
     if not len(got) or marks.min() == marks.max():
         return none
     some = many[(marks == 1) & (many > 0)]
     low, high = np.quantile(some, [1 / 3, 2 / 3]) if len(some) else (0, 0)
     grade = marks * (1 + (many > low) + (many > high))
-    w, cuts = fit_ordinal(x, grade, np.array([r.weight for r in got]))
+    w, cuts = fit_ordinal(row, column, np.where(word, np.log([r.lift for r in chosen]), 0), grade, np.array([r.weight for r in got]))
     return ToxicityModel({b: float(w[i]) for b, i in place.items()}, cuts)
 
 

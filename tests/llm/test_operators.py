@@ -299,6 +299,24 @@ def test_toxicity(spark):
     assert {r.expected_severity for r in toxicity.score_toxicity(frame, none).collect()} == {0.0}
 
 
+def test_toxicity_of_a_minority_language(spark):
+    rng = random.Random(6)
+    marks = {"en": ["vile", "foul", "nasty", "rotten"], "xx": [f"garstig{k}" for k in range(12)]}
+    texts, labels, langs = [], [], []
+    for k in range(1200):
+        lang = "xx" if k % 10 == 0 else "en"
+        t, toxic = [lang[0] + w for w in prose(k, 60, 2000).split(" ")], rng.random() < 0.25
+        for m in rng.sample(marks[lang], 2) if toxic else ():
+            t.insert(rng.randrange(len(t)), m)
+        texts.append(" ".join(t)), labels.append((k, int(toxic))), langs.append(lang)
+    rare = [k for k, t in labels if t and langs[k] == "xx"]
+    assert len(rare) * 2 / 12 < 0.08 * sum(t for _, t in labels)
+    frame = docs(spark, [*texts, "xw1 xw2 garstig99 xw3"])
+    rows = {r.doc_id: r for r in toxicity.score_toxicity(frame, toxicity.fit_toxicity(frame, spark.createDataFrame(labels, "doc_id long, toxic int"))).collect()}
+    assert all(rows[k].toxic for k in rare) and rows[1200].expected_severity > rows[min(k for k, t in labels if not t)].expected_severity
+    assert sum(rows[k].toxic != bool(t) for k, t in labels) <= 12
+
+
 def test_quotes(spark):
     rows = [
         (1, 0, "a", "Hello world of graphs.\n\nSecond paragraph here."), (1, 1, "b", "reply to all"), (1, 2, "c", "> Hello world, of graphs.\nI agree."), (1, 3, "a", "> > Hello world of graphs.\n> I agree.\nsure"),
