@@ -1,7 +1,7 @@
 """License scan by sentence rules, in DataFrame functions only.
 
 A text is cut into sentences, each is normalised to lower-case letters and digits, and those that equal a known licence
-sentence become its identifier. The sequence of a text's identifiers, in order, is matched against ordered rules: a rule
+sentence, or that do once lines wrapped within a sentence are joined, become its identifier. The sequence of a text's identifiers, in order, is matched against ordered rules: a rule
 holds if its identifiers occur in that order, whatever stands between. A licence whose rule is part of another one's that
 holds is left out. Everything happens within a row: no shuffle, no group, and nothing that grows with the corpus.
 
@@ -127,17 +127,28 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(lower, SPLIT, -1), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))), lambda s: s != "")
 
 
-def identifiers(parts: Column) -> Column:
-    """The identifiers of the known ones among normalised sentences, in order."""
+def lines_of(text: Column) -> Column:
+    """The normalised text with \\f where a sentence ends for certain (punctuation, blank lines) and \\n at single line breaks; comment marks at the beginning of lines go like all other characters."""
+    t = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+    t = F.regexp_replace(t, r"\f", " ")
+    t = F.regexp_replace(t, r"[.;:!?]+(?:[ \t\r\n]+|\z)", "\f")
+    t = F.regexp_replace(F.regexp_replace(t, r"\r\n?", "\n"), r"[^a-z0-9\n\f]+", " ")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r" ?([\n\f]) ?", "$1"), r"\n{2,}|\n*\f[\n\f]*", "\f"), r"^ +| +\z", "")
+
+
+def identifiers(text: Column) -> Column:
+    """The identifiers of the known sentences, in order; a sentence may be wrapped over any lines."""
     known = known_sentences()
     table = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
-    return F.transform(F.filter(parts, lambda s: s.isin(*known)), lambda s: F.element_at(table, s))
+    wrapped = "|".join(t.replace(" ", "[ \\n]") for t in sorted(known, key=len, reverse=True))  # the longest first: another one may end at a line break within it
+    found = F.regexp_extract_all(lines_of(text), F.lit(rf"(?:^|[\n\f])({wrapped})(?=[\n\f]|\z)"), F.lit(1))
+    return F.transform(found, lambda s: F.element_at(table, F.translate(s, "\n", " ")))
 
 
 def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_sentences, n_known, sentence_ids (in order, comma-joined), licenses (comma-joined)."""
-    found = docs.select(F.col(doc_id).alias("doc_id"), sentences(F.col(text)).alias("parts"))
-    found = found.select("doc_id", F.size("parts").cast("long").alias("n_sentences"), identifiers(F.col("parts")).alias("ids"))
+    found = docs.select(F.col(doc_id).alias("doc_id"), sentences(F.col(text)).alias("parts"), identifiers(F.col(text)).alias("ids"))
+    found = found.select("doc_id", F.size("parts").cast("long").alias("n_sentences"), "ids")
     line = F.concat(F.lit(" "), F.array_join("ids", "  "), F.lit(" "))  # each identifier with a space of its own on both sides
     holds = [F.col("line").rlike(rule_pattern(ids)) for _, _, ids in RULES]
     names = []

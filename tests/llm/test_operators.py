@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -167,6 +168,26 @@ def test_licenses(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+@pytest.mark.parametrize("width,mark", [(72, ""), (60, "# "), (40, " * "), (20, "// ")])
+def test_wrapped_licenses(spark, width, mark):
+    S = licenses.SENTENCES
+    wrap = lambda *parts: "\n".join(mark.rstrip() if not x else mark + x for p in parts for x in [*textwrap.wrap(p, width, break_on_hyphens=False, break_long_words=False), ""])
+    bsd = [S["bsd-grant"] + ":", "1. " + S["bsd-source"] + ".", "2. " + S["bsd-binary"] + ".", "3. " + S["bsd-name"] + ".", S["bsd-warranty"] + ". IN NO EVENT"]
+    texts = [
+        wrap("Copyright (c) 2020 A", S["mit-grant"] + ":", S["mit-notice"] + ".", S["mit-warranty"] + ". " + S["mit-liability"] + "."),
+        wrap(S["isc-grant"] + ".", S["isc-warranty"] + ". IN NO EVENT"),
+        wrap(*bsd), wrap(*bsd[:3], bsd[4]),
+        wrap(S["mpl-source"] + ". 2.0. " + S["mpl-copy"] + "."),
+        wrap(S["gpl-free"] + ": " + S["gpl-version-3"] + ".", S["gpl-hope"] + "; " + S["gpl-implied"] + ". " + S["gpl-details"] + "."),
+        wrap(S["apache-licensed-define"] + "; " + S["apache-use"] + ". " + S["apache-copy"], "http://www.apache.org/licenses/LICENSE-2.0", S["apache-unless"] + ". " + S["apache-see"] + "."),
+        wrap(S["unlicense-free"] + ".", S["unlicense-anyone"] + "."),
+        mark + "Title\n" + wrap(S["isc-grant"] + ".", S["isc-warranty"] + "."),
+    ]
+    got = {r.doc_id: r for r in licenses.scan_licenses(docs(spark, texts)).collect()}
+    assert [got[k].licenses for k in range(9)] == ["MIT", "ISC", "BSD-3-Clause", "BSD-2-Clause", "MPL-2.0", "GPL-3.0-or-later", "Apache-2.0", "Unlicense", "ISC"]
+    assert "apache-unless" in got[6].sentence_ids and "unlicense-anyone" in got[7].sentence_ids
+
+
 def test_quality(spark):
     good = ["The way of the land is as it was in " + prose(k, 60, 3000) + " and the rest is for all." for k in range(60)]
     bad = [" | ".join(f"c{k}{j}" for j in range(60)) for k in range(12)] + [" ".join(f"w{k}$$$ x{j}###" for j in range(40)) for k in range(12)] + [("spam " * 30 + "eggs " * 40) for _ in range(12)]
