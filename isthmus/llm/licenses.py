@@ -87,6 +87,18 @@ RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("proprietary", "notice", ("rights-reserved",)),
 )
 
+#: Creative Commons notices as patterns over normalised sentences - licences with or without version, CC0, and links.
+_CC_LEAD = r"(?:(?:this|the)(?: [a-z]+){1,2} is )?(?:(?:dual )?(?:licensed|released|available|distributed|published|shared|made available) (?:under|with) )?(?:the terms of )?(?:the |an? )?"
+_CC_KIND = r"(?:by|attribution)(?: nc| non ?commercial)?(?: sa| share ?alike| nd| no ?deriv(?:ative)?s?(?: works)?)?"
+_CC_TAIL = r"(?: international| unported| generic| public| deed)*(?: licen[sc]e)?"
+CC = rf"(?:{_CC_LEAD}(?:spdx license identifier )?(?:cc|creative commons) {_CC_KIND}(?: [1-4] [05])?{_CC_TAIL}(?: cc {_CC_KIND}(?: [1-4] [05])?)?(?: licen[sc]e)?)"
+CC_ZERO = rf"(?:{_CC_LEAD}(?:(?:cc|creative commons)(?: cc ?0| zero)|cc0)(?: 1 0)?(?: universal)?(?: cc0 1 0)?(?: public domain dedication)?(?: licen[sc]e)?)"
+CC_LINK = rf"(?:(?:[a-z0-9]+ ){{0,12}}?(?:www )?creativecommons org (?:licenses {_CC_KIND} [1-4] [05]|publicdomain zero 1 0)(?: [a-z0-9]+){{0,3}})"
+
+#: Kinds and versions, for rules like CC-BY-NC-4.0; the SQL knows only the two long notices above.
+CC_RULES = tuple((f"CC-{kind.upper()}" + (f"-{version}" if version else ""), "notice", (f"cc-{kind}" + (f"-{version.removesuffix('.0')}" if version else ""),)) for kind in ("by", "by-nc", "by-sa", "by-nd", "by-nc-sa", "by-nc-nd") for version in ("4.0", "3.0", "2.5", "2.0", "1.0", ""))
+SCAN_RULES = (*RULES, *(r for r in CC_RULES if r not in RULES), ("CC0-1.0", "notice", ("cc0",)))
+
 #: Where a sentence ends; the same in Java and RE2.
 SPLIT = r"[.;:!?]+(?:[ \t\r\n]+|\z)|[\r\n]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -110,15 +122,15 @@ def rule_pattern(ids: tuple[str, ...]) -> str:
     return " " + "  (?:[^ ]+  )*".join(ids) + " "
 
 
-def _covered(rule: int) -> list[int]:
+def _covered(rule: int, rules: tuple = RULES) -> list[int]:
     """Rules of other licences that have this one's identifiers among theirs, in order."""
 
     def within(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
         it = iter(b)
         return len(a) < len(b) and all(x in it for x in a)
 
-    name, _, ids = RULES[rule]
-    return [k for k, (other, _, more) in enumerate(RULES) if other != name and within(ids, more)]
+    name, _, ids = rules[rule]
+    return [k for k, (other, _, more) in enumerate(rules) if other != name and within(ids, more)]
 
 
 def sentences(text: Column) -> Column:
@@ -140,9 +152,18 @@ def identifiers(text: Column) -> Column:
     """The identifiers of the known sentences, in order; a sentence may be wrapped over any lines."""
     known = known_sentences()
     table = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
-    wrapped = "|".join(t.replace(" ", "[ \\n]") for t in sorted(known, key=len, reverse=True))  # the longest first: another one may end at a line break within it
+    wrapped = "|".join(t.replace(" ?", "[ \\n]?").replace(" ", "[ \\n]").replace("[[ \\n]\\n]", "[ \\n]") for t in (*sorted(known, key=len, reverse=True), CC_ZERO, CC, CC_LINK))  # the longest first: another one may end at a line break within it
     found = F.regexp_extract_all(lines_of(text), F.lit(rf"(?:^|[\n\f])({wrapped})(?=[\n\f]|\z)"), F.lit(1))
-    return F.transform(found, lambda s: F.element_at(table, F.translate(s, "\n", " ")))
+    return F.transform(F.transform(found, lambda s: F.translate(s, "\n", " ")), lambda s: F.coalesce(F.try_element_at(table, s), _creative_commons(s)))
+
+
+def _creative_commons(s: Column) -> Column:
+    """The identifier of a Creative Commons notice."""
+    part = lambda pattern, name: F.when(s.rlike(pattern), F.lit(name)).otherwise(F.lit(""))
+    version = F.regexp_extract(s, r" ([1-4]) ([05])(?: |\z)", 0)
+    version = F.when(version == "", F.lit("")).otherwise(F.concat(F.lit("-"), F.regexp_replace(F.translate(F.trim(version), " ", "."), r"\.0", "")))
+    kind = F.concat(F.lit("cc-by"), part(r" nc(?: |\z)| non ?commercial", "-nc"), part(r" sa(?: |\z)| share ?alike", "-sa"), part(r" nd(?: |\z)| no ?deriv", "-nd"), version)
+    return F.when(s.rlike("cc ?0|zero"), F.lit("cc0")).otherwise(kind)
 
 
 def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -150,11 +171,11 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     found = docs.select(F.col(doc_id).alias("doc_id"), sentences(F.col(text)).alias("parts"), identifiers(F.col(text)).alias("ids"))
     found = found.select("doc_id", F.size("parts").cast("long").alias("n_sentences"), "ids")
     line = F.concat(F.lit(" "), F.array_join("ids", "  "), F.lit(" "))  # each identifier with a space of its own on both sides
-    holds = [F.col("line").rlike(rule_pattern(ids)) for _, _, ids in RULES]
+    holds = [F.col("line").rlike(rule_pattern(ids)) for _, _, ids in SCAN_RULES]
     names = []
-    for k, (name, _, _) in enumerate(RULES):
+    for k, (name, _, _) in enumerate(SCAN_RULES):
         own = holds[k]
-        for other in _covered(k):
+        for other in _covered(k, SCAN_RULES):
             own = own & ~holds[other]
         names.append(F.when(own, F.lit(name)))
     licenses = F.when(F.size("ids") == 0, F.lit("")).otherwise(F.array_join(F.array_distinct(F.array_compact(F.array(*names))), ","))

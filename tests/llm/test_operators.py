@@ -188,6 +188,20 @@ def test_wrapped_licenses(spark, width, mark):
     assert "apache-unless" in got[6].sentence_ids and "unlicense-anyone" in got[7].sentence_ids
 
 
+def test_creative_commons(spark):
+    long = {"by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nc": "Attribution-NonCommercial", "by-nd": "Attribution-NoDerivatives", "by-nc-sa": "Attribution-NonCommercial-ShareAlike", "by-nc-nd": "Attribution-NonCommercial-NoDerivatives"}
+    cases = []
+    for kind, name in long.items():
+        for v, region in (("4.0", "International"), ("3.0", "Unported"), ("2.5", "Generic")):
+            cases += [(t, f"CC-{kind.upper()}-{v}") for t in (f"Licensed under CC {kind.upper()} {v}.", f"SPDX-License-Identifier: CC-{kind.upper()}-{v}", f"This work is licensed under a Creative Commons {name} {v} {region} License.", f"# This work is licensed under the Creative Commons\n# {name} {v} {region} License.", f"To view a copy of this license, visit http://creativecommons.org/licenses/{kind}/{v}/.")]
+    cases += [(t, "CC0-1.0") for t in ("Licensed under CC0 1.0.", "CC0 1.0 Universal", "SPDX-License-Identifier: CC0-1.0", "https://creativecommons.org/publicdomain/zero/1.0/")]
+    cases += [("Released under CC BY-NC.", "CC-BY-NC"), ("We cc by mail 4 0 people.", ""), ("Creative commons are good.", "")]
+    lines = [("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"), ("All rights reserved.", "proprietary"), ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("Released under the MIT License.", "MIT"), ("Licensed under the Apache License, Version 2.0.", "Apache-2.0")]
+    cases += [(f"Some text here.\n{t}\nMore of it.", name) for t, name in lines]
+    got = {r.doc_id: r.licenses for r in licenses.scan_licenses(docs(spark, [t for t, _ in cases])).collect()}
+    assert [(t, got[k]) for k, (t, _) in enumerate(cases)] == cases
+
+
 def test_quality(spark):
     good = ["The way of the land is as it was in " + prose(k, 60, 3000) + " and the rest is for all." for k in range(60)]
     bad = [" | ".join(f"c{k}{j}" for j in range(60)) for k in range(12)] + [" ".join(f"w{k}$$$ x{j}###" for j in range(40)) for k in range(12)] + [("spam " * 30 + "eggs " * 40) for _ in range(12)]
