@@ -6,7 +6,8 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: A-Z to a-z; every other ASCII byte that is no digit or letter becomes a space. Bytes of non-ASCII characters stay.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -20,6 +21,16 @@ def fold_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(FOLD).split() if text else []
 
 
+def col(name: str) -> Column:
+    """A column by its whole name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that names made here can't clash with the user's; `(whole_row(df).alias("row"))` and later `row.*`."""
+    return F.struct(*map(col, df.columns))
+
+
 def per_batch(df: DataFrame, columns: list, fn: Callable[..., dict], schema: str, done: Callable[[], None] | None = None) -> DataFrame:
     """Map Arrow batches: fn gets one Python list per column and returns a dict of columns for the schema.
 
@@ -38,7 +49,7 @@ def per_batch(df: DataFrame, columns: list, fn: Callable[..., dict], schema: str
             if done:
                 done()
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return df.select(*(col(c) if isinstance(c, str) else c for c in columns)).mapInArrow(run, schema)
 
 
 def pieces(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
