@@ -2,12 +2,14 @@
 
 Overlapping heuristic labellers vote good, bad or nothing on each text. Vote patterns (at most 3^8) are counted over all
 documents, and expectation-maximisation estimates from the counts how often each labeller votes so on good and on bad
-texts, without any given label. The posterior labels then train a hashed linear scorer of token shapes, fitted on a
-bounded hash sample of `fit_rows` documents, which judges every document.
+texts, without any given label. Labellers overlap: several see the same kind of bad text and none sees all kinds. So bad
+texts are a mixture of as many kinds as there are labellers, within which votes are independent; what is known of a
+labeller on bad texts is its mean over the kinds. The posterior labels then train a hashed linear scorer of token shapes,
+fitted on a bounded hash sample of `fit_rows` documents, which judges every document.
 
 Defined results: a null text or one without tokens gets no votes and the score of a text without features, that of the
-prior; ties at the threshold are kept; repeated rows get equal scores; an empty table fits nothing and gives no rows;
-other columns pass through `keep_good` unread.
+prior; ties at the threshold are kept; repeated rows get equal scores; very long texts and tokens are read whole; an empty
+table fits nothing and gives no rows; other columns pass through `keep_good` unread.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import per_batch
+from .text import col, per_batch
 
 BUCKETS = 1 << 12
 #: Very common function words of the corpus languages.
@@ -35,7 +37,7 @@ _NOT_PLAIN = re.compile(r"[^\w\s.,;:!?'\"()|\-]+")
 def shape(token: str) -> str:
     """Letters as a or A, digits as 0, other characters as they are, repeats once."""
     out: list[str] = []
-    for c in token[:64]:
+    for c in token:
         k = ("A" if c.isupper() else "a") if c.isalpha() else "0" if c.isdigit() else c
         if not out or out[-1] != k:
             out.append(k)
@@ -94,9 +96,9 @@ def function_words(x: Look) -> int:
 LABELLERS: tuple[Callable[[Look], int], ...] = (separators, repetition, symbols, capitals, shouting, monotony, repeated_lines, function_words)
 
 
-def pattern(text: str | None) -> int:
+def pattern(x: Look) -> int:
     """The votes (0 none, 1 good, 2 bad) as digits to base 3."""
-    x, code = Look(text), 0
+    code = 0
     for f in reversed(LABELLERS):
         code = code * 3 + (f(x) if x.n else 0)
     return code
@@ -106,39 +108,41 @@ def votes_of(codes: np.ndarray) -> np.ndarray:
     return codes[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
 
 
-def estimate(codes: np.ndarray, counts: np.ndarray, rounds: int = 100, better: float = 200.0, surest: float = 0.7) -> tuple[np.ndarray, float, np.ndarray]:
+def estimate(codes: np.ndarray, counts: np.ndarray, rounds: int = 300, strength: float = 0.01, false_alarm: float = 0.002, own: float = 0.9, other: float = 0.05) -> tuple[np.ndarray, float, np.ndarray]:
     """EM over pattern counts: P(vote | class) as (class, labeller, vote), P(good), and P(good | pattern).
 
-    It starts from the view that a text with a bad vote is probably bad. Abstentions say nothing about the class. Labellers
-    are taken to be better than chance: each bad vote is at least `better` times likelier on bad texts than on good ones,
-    and at most `surest` of the bad texts get one from the same labeller, so that a kind of bad text that only one
-    labeller knows isn't counted among the good because the others, which share blind spots, vote good.
+    Abstentions say nothing about the class. Beta priors say which class is which: bad votes have mean `false_alarm` on
+    good texts, `own` on the kind that a labeller was made for and `other` on the rest. They weigh as much as `strength`
+    times the documents for the good class, and the same divided among the kinds, so the estimates are those of the data.
     """
+    n = len(LABELLERS)
     votes = votes_of(codes)
-    good = np.where((votes == 2).any(1), 0.1, 0.95)
-    table, prior = np.full((2, len(LABELLERS), 3), 1 / 3), 0.5
+    bad, cast = votes == 2, votes > 0
+    mean = np.full((n + 1, n), other)
+    mean[0], mean[np.arange(1, n + 1), np.arange(n)] = false_alarm, own
+    weight = np.r_[1.0, np.full(n, 1 / n)][:, None] * strength * max(counts.sum(), 1.0)
+    share = np.c_[np.where(bad.any(1), 0.05, 0.95), np.zeros((len(codes), n))]
+    share[:, 1:] = (1 - share[:, :1]) * np.where(bad.any(1)[:, None], bad / np.maximum(bad.sum(1, keepdims=True), 1), 1 / n)
     for _ in range(rounds):
-        weight = np.stack([counts * (1 - good), counts * good])
-        prior = (weight[1].sum() + 1) / (weight.sum() + 2)
-        for v in (1, 2):
-            table[:, :, v] = np.stack([(w[:, None] * (votes == v)).sum(0) for w in weight]) + 0.5
-        table[:, :, 1:] /= table[:, :, 1:].sum(2, keepdims=True)
-        table[0, :, 2] = np.clip(np.maximum(table[0, :, 2], better * table[1, :, 2]), 0, surest)
-        table[1, :, 2] = np.minimum(table[1, :, 2], table[0, :, 2] / better)
-        table[:, :, 1] = 1 - table[:, :, 2]
-        logs = np.log(table)
-        logs[:, :, 0] = 0
-        ratio = np.log(prior / (1 - prior)) + sum(logs[1, k, votes[:, k]] - logs[0, k, votes[:, k]] for k in range(len(LABELLERS)))
-        after = 1 / (1 + np.exp(-np.clip(ratio, -500, 500)))
-        if np.abs(after - good).max() < 1e-9:
+        mass = share * counts[:, None]
+        prior = (mass.sum(0) + 1) / (mass.sum() + n + 1)
+        rate = (mass.T @ bad + weight * mean) / (mass.T @ cast + weight)
+        logs = np.log(prior) + bad @ np.log(rate).T + (cast & ~bad) @ np.log1p(-rate).T
+        after = np.exp(logs - logs.max(1, keepdims=True))
+        after /= after.sum(1, keepdims=True)
+        done = np.abs(after - share).max() < 1e-9
+        share = after
+        if done:
             break
-        good = after
-    return table, float(prior), good
+    kinds = prior[1:] / prior[1:].sum()
+    table = np.zeros((2, n, 3))
+    table[:, :, 2] = kinds @ rate[1:], rate[0]
+    table[:, :, 1] = 1 - table[:, :, 2]
+    return table, float(prior[0]), share[:, 0]
 
 
-def features(text: str | None) -> dict[int, float]:
-    """Hashed token shapes, and a token equal to the one before, by their share of the tokens (full at a fifth)."""
-    x = Look(text)
+def features(x: Look) -> dict[int, float]:
+    """Hashed token shapes, and a token equal to the one before, by their share of the tokens: once full at a fifth, once at a fiftieth."""
     if not x.n:
         return {}
     if len(_SHAPES) > 200_000:
@@ -146,33 +150,36 @@ def features(text: str | None) -> dict[int, float]:
     total: Counter = Counter()
     for t, c in x.counts.items():
         if (b := _SHAPES.get(t)) is None:
-            b = zlib.crc32(shape(t).encode("utf-8", "surrogatepass")) % BUCKETS
+            b = zlib.crc32(shape(t).encode("utf-8", "surrogatepass")) % BUCKETS & ~1
             if len(t) <= 64:
                 _SHAPES[t] = b
         total[b] += c
-    total[zlib.crc32(b" same") % BUCKETS] += x.same
-    total[zlib.crc32(b" top") % BUCKETS] += max(x.counts.values()) if x.n >= 20 else 0
-    return {b: min(1.0, 5 * c / x.n) for b, c in total.items() if c}
+    total[zlib.crc32(b" same") % BUCKETS & ~1] += x.same
+    total[zlib.crc32(b" top") % BUCKETS & ~1] += max(x.counts.values()) if x.n >= 20 else 0
+    out = {}
+    for b, c in total.items():
+        if c:
+            out[b], out[b | 1] = min(1.0, 5 * c / x.n), min(1.0, 50 * c / x.n)
+    return out
 
 
 def fit_linear(rows: list[dict[int, float]], target: np.ndarray, penalty: float = 1e-3, rounds: int = 300) -> np.ndarray:
-    """Logistic regression on soft labels by accelerated gradient steps; the last weight is the intercept."""
-    used = sorted({b for r in rows for b in r})
-    place = {b: i for i, b in enumerate(used)}
-    x = np.zeros((len(rows), len(used) + 1), np.float32)
-    x[:, -1] = 1
-    for i, r in enumerate(rows):
-        for b, v in r.items():
-            x[i, place[b]] = v
-    w, before = np.zeros(x.shape[1]), np.zeros(x.shape[1])
-    step = 4 * len(x) / max(float((x * x).sum(1).max()) * len(x), 1e-9)
+    """Logistic regression on soft labels by accelerated gradient steps on sparse rows; the last weight is the intercept."""
+    n = len(rows)
+    row = np.repeat(np.arange(n), [len(r) for r in rows])
+    used, column = np.unique(np.array([b for r in rows for b in r], int), return_inverse=True)
+    value = np.array([v for r in rows for v in r.values()], float)
+    d = len(used)
+    w, before = np.zeros(d + 1), np.zeros(d + 1)
+    step = 4 / (1 + np.bincount(row, value * value, n).max(initial=0.0))
     for k in range(rounds):
         ahead = w + k / (k + 3) * (w - before)
-        p = 1 / (1 + np.exp(-np.clip(x @ ahead, -50, 50)))
-        slope = x.T @ (p - target) / len(x) + penalty * np.r_[ahead[:-1], 0]
+        z = np.bincount(row, value * ahead[column], n) + ahead[d]
+        miss = 1 / (1 + np.exp(-np.clip(z, -50, 50))) - target
+        slope = np.r_[np.bincount(column, value * miss[row], d) / n + penalty * ahead[:d], miss.mean()]
         before, w = w, ahead - step * slope
     out = np.zeros(BUCKETS + 1)
-    out[used], out[BUCKETS] = w[:-1], w[-1]
+    out[used], out[BUCKETS] = w[:d], w[d]
     return out
 
 
@@ -182,14 +189,14 @@ class QualityModel:
     def __init__(self, weights: np.ndarray, posterior: dict[int, float], labellers: dict[str, dict[str, float]]) -> None:
         self.weights, self.posterior, self.labellers = weights, posterior, labellers
 
-    def score(self, text: str | None) -> float:
-        z = float(self.weights[BUCKETS]) + sum(float(self.weights[b]) * v for b, v in sorted(features(text).items()))
+    def score(self, x: Look) -> float:
+        z = float(self.weights[BUCKETS]) + sum(float(self.weights[b]) * v for b, v in sorted(features(x).items()))
         return 1 / (1 + float(np.exp(-min(max(z, -50.0), 50.0))))
 
 
-def fit_quality(docs: DataFrame, fit_rows: int = 20_000, text: str = "text") -> QualityModel:
-    """Count vote patterns over all documents, estimate the labellers, and train the scorer on a hash sample of about fit_rows documents."""
-    counted = per_batch(docs, [text], lambda texts: {"code": list(map(pattern, texts))}, "code long").groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()
+def fit_quality(docs: DataFrame, fit_rows: int = 20_000, doc_id: str = "doc_id", text: str = "text") -> QualityModel:
+    """Count vote patterns over all documents, estimate the labellers, and train the scorer on about fit_rows documents, chosen by a hash of id and text."""
+    counted = per_batch(docs, [text], lambda texts: {"code": [pattern(Look(t)) for t in texts]}, "code long").groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()
     if not counted:
         return QualityModel(np.zeros(BUCKETS + 1), {}, {})
     counted.sort()
@@ -197,13 +204,15 @@ def fit_quality(docs: DataFrame, fit_rows: int = 20_000, text: str = "text") ->
     table, _, good = estimate(codes, counts)
     posterior = dict(zip(codes.tolist(), good.tolist(), strict=True))
     part = min(1.0, fit_rows / counts.sum())
-    sample = docs.select(text).where(F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.coalesce(F.substring(text, 1, 64), F.lit(""))), F.lit(1 << 31)) < int(part * (1 << 31)))
+    sample = docs.where(F.pmod(F.xxhash64(col(doc_id), col(text)), F.lit(1 << 31)) < int(part * (1 << 31)))
 
     def look(texts: list) -> dict:
-        found = [sorted(features(t).items()) for t in texts]
-        return {"code": list(map(pattern, texts)), "b": [[b for b, _ in f] for f in found], "v": [[v for _, v in f] for f in found]}
+        looks = [Look(t) for t in texts]
+        found = [sorted(features(x).items()) for x in looks]
+        return {"code": [pattern(x) for x in looks], "b": [[b for b, _ in f] for f in found], "v": [[v for _, v in f] for f in found]}
 
     rows = per_batch(sample, [text], look, "code long, b array<int>, v array<float>", _SHAPES.clear).collect()
+    rows.sort(key=lambda r: (r.code, r.b, r.v))  # so that sums don't depend on the order of files
     weights = fit_linear([dict(zip(r.b, r.v, strict=True)) for r in rows], np.array([posterior.get(r.code, 0.5) for r in rows])) if rows else np.zeros(BUCKETS + 1)
     accuracy = {f.__name__: {"good votes on good": float(table[1, k, 1]), "bad votes on bad": float(table[0, k, 2])} for k, f in enumerate(LABELLERS)}
     return QualityModel(weights, posterior, accuracy)
@@ -213,8 +222,9 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.5,
     """doc_id, weak_label (posterior that the votes alone give), score, keep."""
 
     def judge(ids: list, texts: list) -> dict:
-        scores = [round(model.score(t), 6) for t in texts]
-        return {"doc_id": ids, "weak_label": [round(model.posterior.get(pattern(t), 0.5), 6) for t in texts], "score": scores, "keep": [s >= threshold for s in scores]}
+        looks = [Look(t) for t in texts]
+        scores = [round(model.score(x), 6) for x in looks]
+        return {"doc_id": ids, "weak_label": [round(model.posterior.get(pattern(x), 0.5), 6) for x in looks], "score": scores, "keep": [s >= threshold for s in scores]}
 
     return per_batch(docs, [doc_id, text], judge, "doc_id long, weak_label double, score double, keep boolean", _SHAPES.clear)
 
@@ -226,8 +236,8 @@ def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.5, text
     def good(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         try:
             for texts in batches:
-                yield pd.Series([round(model.score(t if isinstance(t, str) else None), 6) >= threshold for t in texts], dtype=bool)
+                yield pd.Series([round(model.score(Look(t if isinstance(t, str) else None)), 6) >= threshold for t in texts], dtype=bool)
         finally:
             _SHAPES.clear()
 
-    return docs.where(good(F.col(f"`{text}`")))
+    return docs.where(good(col(text)))
