@@ -31,6 +31,20 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*map(col, df.columns))
 
 
+def with_text(made: DataFrame, docs: DataFrame, text: str, body: Column, changed: Column) -> DataFrame:
+    """The columns of docs from the struct `row`, with body as the text; n_chars, if there is one, is renewed where the text changed."""
+    kept = F.col("row")
+    fields = []
+    for name, kind in docs.dtypes:
+        own = kept.getField(name)
+        if name == text:
+            own = body
+        elif name == "n_chars":
+            own = F.when(changed, F.length(body).cast(kind)).otherwise(own)
+        fields.append(own.alias(name))
+    return made.select(*fields)
+
+
 def per_batch(df: DataFrame, columns: list, fn: Callable[..., dict], schema: str, done: Callable[[], None] | None = None) -> DataFrame:
     """Map Arrow batches: fn gets one Python list per column and returns a dict of columns for the schema.
 
