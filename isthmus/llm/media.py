@@ -1,7 +1,12 @@
 """Media columns: texts stored as progressive JPEG files, and files read back as full-resolution RGB tensors.
 
+`store_media` makes the files, `rgb_tensors` decodes them into tensor columns, and `media_features` computes features of
+the stored files and tensors.
+
 Defined results: a null text is empty; the payload is the UTF-8 text filled with zero bytes to a positive multiple of 64,
-so an empty text has one block; equal texts give equal files, payloads and features; rows are treated one by one.
+so an empty text has one block; equal texts give equal files, payloads, tensors and features; very long texts make one
+large picture each; rows are treated one by one, so repeated rows give repeated results; an empty table gives no rows;
+other columns aren't read.
 """
 
 from __future__ import annotations
@@ -26,39 +31,44 @@ def store_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return per_batch(docs, [doc_id, text], store, "doc_id long, n_bytes long, media binary")
 
 
-def media_features(media: DataFrame) -> DataFrame:
-    """What the stored files hold: sizes, hashes and a feature of the decoded picture."""
+FILE = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
 
-    def look(ids: list, sizes: list, files: list) -> dict:
-        out: dict = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
+
+def rgb_tensors(media: DataFrame) -> DataFrame:
+    """What each file holds, payload and hashes, and its tensor: height, width and pixels (row-major RGB bytes)."""
+
+    def tensors(ids: list, sizes: list, files: list) -> dict:
+        out: dict = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "height", "width", "pixels")}
         for f in files:
             image = Image(f)
             payload = image.payload()
-            made = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(f), hashlib.sha256(f).hexdigest(), feature(image))
+            made = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(f), hashlib.sha256(f).hexdigest(), image.height, image.width, b"".join(x.tobytes() for x in image.strips()))
             for column, x in zip(out.values(), made, strict=True):
                 column.append(x)
         return {"doc_id": ids, "n_bytes": sizes} | out
 
-    return per_batch(media, ["doc_id", "n_bytes", "media"], look, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return per_batch(media, ["doc_id", "n_bytes", "media"], tensors, FILE + ", height int, width int, pixels binary")
 
 
-def rgb_tensors(media: DataFrame) -> DataFrame:
-    """doc_id, height, width and pixels (row-major RGB bytes) of each file."""
+def media_features(media: DataFrame) -> DataFrame:
+    """Sizes and hashes of the stored files, and a feature of the tensors, read back from their column."""
+    tensors = rgb_tensors(media)
+    names = tensors.columns[:-3]
 
-    def tensors(ids: list, files: list) -> dict:
-        made = [Image(f).rgb() for f in files]
-        return {"doc_id": ids, "height": [x.shape[0] for x in made], "width": [x.shape[1] for x in made], "pixels": [x.tobytes() for x in made]}
+    def look(*columns: list) -> dict:
+        rest, (heights, widths, pixels) = columns[:-3], columns[-3:]
+        made = [feature(np.frombuffer(p, np.uint8).reshape(h, w, 3)) for h, w, p in zip(heights, widths, pixels, strict=True)]
+        return dict(zip(names, rest, strict=True)) | {"feature": made}
 
-    return per_batch(media, ["doc_id", "media"], tensors, "doc_id long, height int, width int, pixels binary")
+    return per_batch(tensors, tensors.columns, look, FILE + ", feature string")
 
 
-def feature(image: Image) -> str:
+def feature(rgb: np.ndarray) -> str:
     """Size, and mean and standard deviation of each colour; from whole-number sums, so exactly repeatable."""
-    total, squares, n = np.zeros(3, np.int64), np.zeros(3, np.int64), image.height * image.width
-    for rgb in image.strips():
-        flat = rgb.reshape(-1, 3).astype(np.int64)
-        total += flat.sum(0)
-        squares += (flat * flat).sum(0)
-    mean = [f"{t / n:.4f}" for t in total.tolist()]
-    spread = [f"{(max(0, s * n - t * t) ** 0.5) / n:.4f}" for t, s in zip(total.tolist(), squares.tolist(), strict=True)]
-    return f"{image.width}x{image.height} mean {' '.join(mean)} std {' '.join(spread)}"
+    n = rgb.shape[0] * rgb.shape[1]
+    counts = [np.bincount(rgb[:, :, k].ravel(), minlength=256) for k in range(3)]
+    level = np.arange(256)
+    sums = [(int(c @ level), int(c @ (level * level))) for c in counts]
+    mean = [f"{t / n:.4f}" for t, _ in sums]
+    spread = [f"{(max(0, s * n - t * t) ** 0.5) / n:.4f}" for t, s in sums]
+    return f"{rgb.shape[1]}x{rgb.shape[0]} mean {' '.join(mean)} std {' '.join(spread)}"
