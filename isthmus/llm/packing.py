@@ -3,10 +3,13 @@
 Each document becomes its token ids and an end id; only what is longer than a sequence is cut, into whole sequences and a
 rest. The pieces are dealt evenly over groups of about `group_pieces`, whatever the size of the corpus, and each group is
 packed on its own, longest piece first: a piece goes where the sum of squared counts of open bins per residual gap becomes
-smallest. Only piece lengths and checksums are shuffled, never texts or ids.
+smallest. The number of groups comes from the number of documents and of their bytes (a sequence for every 4 bytes a
+token), so a few very long documents make more groups, not larger ones. Only piece lengths and checksums are shuffled,
+never texts or ids.
 
 Defined results: a null or empty text is one piece that holds the end id; equal or repeated rows are packed each; equal
-lengths are placed in order of (doc_id, piece, checksum), null ids last; an empty table has no pieces.
+lengths are placed in order of (doc_id, piece, checksum), null ids last; very long texts are tokenised whole; an empty
+table has no pieces; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -21,8 +24,9 @@ import pyarrow as pa
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .text import arrow_schema, pieces
+from .text import arrow_schema, col, pieces
 
 TOKENIZERS_DIR = "/opt/tokenizers"
 
@@ -133,7 +137,7 @@ def token_pieces(docs: DataFrame, path: str, most: int, groups: int, end_id: int
         finally:
             own.forget()
 
-    return docs.select(doc_id, text).mapInArrow(cut, schema)
+    return docs.select(col(doc_id).cast("long"), col(text)).mapInArrow(cut, schema)
 
 
 def sum_of_squares(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,7 +174,8 @@ def sum_of_squares(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarr
 
 def pack(docs: DataFrame, most: int = 2048, vocabulary: str = "word_bpe_49k.json", group_pieces: int = 8192, path: str | None = None, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Pieces with sequence_id and offset. path: of the vocabulary file, if it isn't the public one of that name."""
-    groups = max(1, -(-docs.count() // group_pieces))
+    size = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(col(text))), F.lit(0)).alias("bytes")).first()
+    groups = max(1, -(-(size.n + size.bytes // (4 * most)) // group_pieces))
     made = token_pieces(docs, path or tokenizer_path(vocabulary), most, groups, end_id, doc_id, text)
 
     def place(part: pa.Table) -> pa.Table:
