@@ -8,7 +8,9 @@ at most `reach` characters away, and are reported only when complementary parts
 with an id, an endpoint with both. Base spans count as parts as well: access as an id, assign and hex as secrets.
 
 Defined results: a null text is empty and has no spans; a weak part that overlaps a base span isn't reported; touching
-but not overlapping spans stay apart; every row is scanned by itself, whole, in time linear in the text up to sorting.
+but not overlapping spans stay apart; every row is scanned by itself, whole, however long, in time linear in the text up
+to sorting and binary searches; repeated rows give repeated results; an empty table gives no rows; other columns, whatever
+their names, pass through `redact_secrets` unread.
 """
 
 from __future__ import annotations
@@ -17,13 +19,14 @@ import hashlib
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
+from itertools import accumulate
 from math import log2
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import per_batch
+from .text import col, per_batch, whole_row, with_text
 
 KINDS = ("assign", "access", "hex", "id", "secret", "endpoint")
 ORDER = {k: i for i, k in enumerate(KINDS)}
@@ -96,19 +99,16 @@ def linked(text: str, base: list[Span], weak: list[Span], reach: int) -> list[Sp
     tables = []
     for spans in (ids, secrets):
         spans.sort()
-        tables.append((spans, [s[0] for s in spans], max((hi - lo for lo, hi in spans), default=0)))
+        tables.append(([s[0] for s in spans], list(accumulate((s[1] for s in spans), max))))
 
     def near(span: Span, table: tuple) -> bool:
-        spans, starts, longest = table
+        """If a span of the table overlaps the scope: of those that begin before its end, the one that ends last."""
+        starts, furthest = table
         k = bisect_left(cuts, span[0])
         low = max(span[0] - reach, cuts[k - 1] if k else 0)
         high = min(span[1] + reach, cuts[k] if k < len(cuts) else len(text))
-        k = bisect_left(starts, low - longest)
-        while k < len(spans) and spans[k][0] < high:
-            if spans[k][1] > low:
-                return True
-            k += 1
-        return False
+        k = bisect_left(starts, high)
+        return k > 0 and furthest[k - 1] > low
 
     need = {"id": (1,), "secret": (0,), "endpoint": (0, 1)}
     return [s for s in weak if all(near(s, tables[t]) for t in need[s[2]])]
@@ -142,11 +142,8 @@ def redact_secrets(docs: DataFrame, reach: int = 300, mark: str = "[secret]", te
     def redacted(texts: pd.Series) -> pd.Series:
         return pd.Series([without_spans(t, [s for s in find_spans(t, reach)[1] if s[2] != "endpoint"], mark) if isinstance(t, str) else None for t in texts], dtype=object)
 
-    column, name = F.col(f"`{text}`"), "__redacted"
-    while name in docs.columns:
-        name += "_"
-    size = {"n_chars": F.when(F.col(name).eqNullSafe(column), F.col("n_chars")).otherwise(F.length(name).cast(dict(docs.dtypes)["n_chars"]))} if "n_chars" in docs.columns else {}
-    return docs.withColumn(name, redacted(column)).withColumns({**size, text: F.col(name)}).select(*(f"`{c}`" for c in docs.columns))
+    made = docs.select(whole_row(docs).alias("row"), col(text).alias("body")).withColumn("left", redacted("body"))
+    return with_text(made, docs, text, F.col("left"), ~F.col("left").eqNullSafe(F.col("body")))
 
 
 def without_spans(text: str, spans: list[Span], mark: str) -> str:
