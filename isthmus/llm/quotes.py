@@ -13,7 +13,8 @@ branches are nested.
 Defined results: a null text is an empty message without quotes; a message that is all quotes has an empty text; a null
 turn has no place, hence no parent and no key, and can't be quoted; null conversation ids form one conversation; messages
 repeated with one conversation and turn share their parent and key, and replies to either go to that turn; attribution
-lines ("... wrote:") right before a quote are dropped with it; an empty table gives no rows.
+lines ("... wrote:") right before a quote are dropped with it, however long; very long texts are read whole; an empty
+table gives no rows; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ from ..runtime import cut_lineage, stored
 from .text import fold_words, per_batch
 
 MARKS = re.compile(r"[ \t]{0,3}((?:>[ \t]?)+)")
-WROTE = re.compile(r"\s*\S.{0,200}\b(?:wrote|schrieb|écrit|escribió)\s*:\s*")
+#: Verbs that end an attribution line, before its colon.
+WROTE = ("wrote", "schrieb", "écrit", "escribió")
 WIDTH = 1024
 
 
@@ -42,6 +44,14 @@ def quote_lines(text: str) -> list[tuple[int, str]]:
     return out
 
 
+def wrote(line: str) -> bool:
+    """If the line attributes what follows to someone: a name or more, then one of the verbs and a colon."""
+    line = line.rstrip()
+    line, verb = line[:-1].rstrip(), line.endswith(":")
+    before = next((line[: -len(w)] for w in WROTE if line.endswith(w)), "") if verb else ""
+    return bool(before.strip()) and not (before[-1].isalnum() or before[-1] == "_")
+
+
 def hash_of(text: str) -> int | None:
     words = fold_words(text)
     return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63) if words else None
@@ -53,7 +63,7 @@ def parse(text: str | None) -> dict:
     own, blocks = [], []
     for k, (level, line) in enumerate(lines):
         if level == 0:
-            if not (k + 1 < len(lines) and lines[k + 1][0] and WROTE.fullmatch(line)):
+            if not (k + 1 < len(lines) and lines[k + 1][0] and wrote(line)):
                 own.append(line)
         elif k and lines[k - 1][0] == level and blocks:
             blocks[-1][1].append(line)
