@@ -54,7 +54,7 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return score_toxicity(docs, fit_toxicity(docs, read_table(spark, sf_dir, "labels")))
+    return score_toxicity(docs, fit_toxicity(docs, read_table(spark, sf_dir, "labels"), lang="lang"))
 
 
 def op10_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
