@@ -108,24 +108,26 @@ def votes_of(codes: np.ndarray) -> np.ndarray:
     return codes[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
 
 
-def estimate(codes: np.ndarray, counts: np.ndarray, rounds: int = 300, strength: float = 0.01, false_alarm: float = 0.002, own: float = 0.9, other: float = 0.05) -> tuple[np.ndarray, float, np.ndarray]:
+def estimate(codes: np.ndarray, counts: np.ndarray, rounds: int = 300, strength: float = 0.01, false_alarm: float = 0.002, own: float = 0.9, other: float = 0.05, good: float = 0.9) -> tuple[np.ndarray, float, np.ndarray]:
     """EM over pattern counts: P(vote | class) as (class, labeller, vote), P(good), and P(good | pattern).
 
     Abstentions say nothing about the class. Beta priors say which class is which: bad votes have mean `false_alarm` on
     good texts, `own` on the kind that a labeller was made for and `other` on the rest. They weigh as much as `strength`
-    times the documents for the good class, and the same divided among the kinds, so the estimates are those of the data.
+    times the documents (10 at least) for the good class, and the same divided among the kinds, so the estimates are those
+    of the data. As many more texts are taken to be good by a share of `good`.
     """
     n = len(LABELLERS)
     votes = votes_of(codes)
     bad, cast = votes == 2, votes > 0
     mean = np.full((n + 1, n), other)
     mean[0], mean[np.arange(1, n + 1), np.arange(n)] = false_alarm, own
-    weight = np.r_[1.0, np.full(n, 1 / n)][:, None] * strength * max(counts.sum(), 1.0)
+    whole = max(strength * counts.sum(), 10.0)
+    weight, more = whole * np.r_[1.0, np.full(n, 1 / n)][:, None], whole * np.r_[good, np.full(n, (1 - good) / n)]
     share = np.c_[np.where(bad.any(1), 0.05, 0.95), np.zeros((len(codes), n))]
     share[:, 1:] = (1 - share[:, :1]) * np.where(bad.any(1)[:, None], bad / np.maximum(bad.sum(1, keepdims=True), 1), 1 / n)
     for _ in range(rounds):
         mass = share * counts[:, None]
-        prior = (mass.sum(0) + 1) / (mass.sum() + n + 1)
+        prior = (mass.sum(0) + more) / (mass.sum() + whole)
         rate = (mass.T @ bad + weight * mean) / (mass.T @ cast + weight)
         logs = np.log(prior) + bad @ np.log(rate).T + (cast & ~bad) @ np.log1p(-rate).T
         after = np.exp(logs - logs.max(1, keepdims=True))
