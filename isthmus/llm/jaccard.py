@@ -321,7 +321,7 @@ def verified_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, thr
     least = least_matches(threshold, tolerance)
     members = clusters.join(classes.select(F.col("node").alias("id"), "rep", "rep_th", "copies", "sig", "grams"), "id").withColumnRenamed("id", "node")
     # the first member of a component is the node that names it
-    size = members.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(4 * block)), F.ceil(F.sum("grams") * 8 / F.lit(block_bytes))).cast("int").alias("n"))
+    size = members.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(2 * block)), F.ceil(F.sum("grams") * 8 / F.lit(block_bytes))).cast("int").alias("n"))
     wanted = members.join(size, "component").select("component", "n", "node", "rep", "rep_th", "copies", "sig")
     bodies = docs.select(col(doc_id).cast("long").alias("id"), F.xxhash64(col(text)).alias("th"), col(text).alias("body"))
     full = wanted.join(bodies, (wanted["rep_th"] == bodies["th"]) & wanted["rep"].eqNullSafe(bodies["id"]))
