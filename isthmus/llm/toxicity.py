@@ -9,6 +9,8 @@ Given labels only say toxic or not. Grades of toxic documents come from held-out
 halves by a hash of their id, and a document's evidence is the sum of the log-odds that its words have in the other half,
 divided by the logarithm of its number of words. The thirds of this evidence, within a language if a language column is
 given, are grades 1, 2 and 3; without evidence the grade is 1. So no grade is made from the counts that it is predicted by.
+As these grades are uncertain and the labels aren't, grades have a tenth of the weight in the likelihood (`trust`), toxic
+or not the rest.
 
 Defined results: a null or wordless text has no features and gets the severity of the thresholds alone; labels that are
 null don't count, a document labelled twice is toxic if one label says so; without labels of both kinds nothing is
@@ -101,28 +103,34 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z - self.cuts, -50, 50)))
 
 
-def fit_ordinal(row: np.ndarray, column: np.ndarray, expected: np.ndarray, grade: np.ndarray, weight: np.ndarray, penalty: float = 3e-5, rounds: int = 2000) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ordered cuts that maximise the likelihood, penalised by the distance from the expected weights; cuts are a start and positive gaps, so they stay in order. Document row[i] has feature column[i]."""
+def fit_ordinal(row: np.ndarray, column: np.ndarray, expected: np.ndarray, grade: np.ndarray, weight: np.ndarray, penalty: float = 3e-5, rounds: int = 2000, trust: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ordered cuts that maximise the likelihood, penalised by the distance from the expected weights; cuts are a start and positive gaps, so they stay in order. Document row[i] has feature column[i].
+
+    trust is the share of the likelihood that is that of the grades; the rest is that of being above grade 0 or not.
+    """
     n, d = len(grade), len(expected)
     weight = weight / weight.sum()
     at = np.array([weight[grade >= k].sum() for k in range(1, GRADES + 1)]).clip(1e-4, 1 - 1e-4)
     start = -np.log(at / (1 - at))
     p = np.r_[expected, start[0], np.log(np.maximum(np.diff(start), 0.05))]
     m, v = np.zeros_like(p), np.zeros_like(p)
+    rows = np.arange(n)
+    # a document lies between the first and the second of these thresholds (0: none below, GRADES + 1: none above)
+    parts = [(trust, grade, grade + 1), (1 - trust, np.minimum(grade, 1), np.where(grade > 0, GRADES + 1, 1))]
     for t in range(1, rounds + 1):
-        cuts = p[d] + np.r_[0, np.exp(p[d + 1 :]).cumsum()]
+        gaps = np.exp(p[d + 1 :])
+        cuts = p[d] + np.r_[0, gaps.cumsum()]
         z = np.bincount(row, p[column], n)
         up = np.c_[np.ones(n), 1 / (1 + np.exp(-np.clip(z[:, None] - cuts, -50, 50))), np.zeros(n)]
-        rows = np.arange(n)
-        hi, lo = up[rows, grade], up[rows, grade + 1]
-        prob = np.maximum(hi - lo, 1e-9)
-        dhi, dlo = hi * (1 - hi), lo * (1 - lo)
-        gz = -(dhi - dlo) / prob
-        gc = np.zeros((n, GRADES + 2))
-        gc[rows, grade] += dhi / prob
-        gc[rows, grade + 1] -= dlo / prob
+        gz, gc = np.zeros(n), np.zeros((n, GRADES + 2))
+        for part, above, below in parts:
+            hi, lo = up[rows, above], up[rows, below]
+            prob = np.maximum(hi - lo, 1e-9)
+            dhi, dlo = part * hi * (1 - hi) / prob, part * lo * (1 - lo) / prob
+            gz -= dhi - dlo
+            gc[rows, above] += dhi
+            gc[rows, below] -= dlo
         gcut = weight @ gc[:, 1:-1]
-        gaps = np.exp(p[d + 1 :])
         g = np.r_[np.bincount(column, (weight * gz)[row], d) + penalty * (p[:d] - expected), gcut.sum(), [gcut[k + 1 :].sum() * gaps[k] for k in range(GRADES - 1)]]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p = p - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -144,7 +152,7 @@ def grades_of(marks: np.ndarray, evidence: np.ndarray, langs: list, least: int =
     return grade
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, min_toxic: int = 5, min_lift: float = 10.0, min_surprise: float = 15.0, most_broadcast: int = 500_000, doc_id: str = "doc_id", text: str = "text", lang: str | None = None) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, min_toxic: int = 5, min_lift: float = 10.0, min_surprise: float = 15.0, most_broadcast: int = 500_000, doc_id: str = "doc_id", text: str = "text", lang: str | None = None, trust: float = 0.1) -> ToxicityModel:
     """Words and beginnings count as features if they are in min_toxic toxic documents, min_lift times as often as elsewhere, and the likelihood ratio (G2) against equal shares is min_surprise: all of them, at most BUCKETS. The counts cover all labelled documents; the regression is fitted on a hash sample of about fit_rows of them."""
     none = ToxicityModel({}, np.full(GRADES, 50.0))
     rows = labelled(docs, labels, most_broadcast, doc_id, text, lang)
@@ -188,7 +196,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, min
     row, column = np.repeat(np.arange(len(got)), [len(r.used) for r in got]), np.array([x for r in got for x in r.used], int)
     word = np.array([r.bucket % 2 == 0 for r in chosen])
     grade = grades_of(marks, np.array([r.evidence for r in got]), [r.lang for r in got])
-    w, cuts = fit_ordinal(row, column, np.where(word, np.log([r.lift for r in chosen]), 0), grade, np.array([r.weight for r in got]))
+    w, cuts = fit_ordinal(row, column, np.where(word, np.log([r.lift for r in chosen]), 0), grade, np.array([r.weight for r in got]), trust=trust)
     return ToxicityModel({b: float(w[i]) for b, i in place.items()}, cuts)
 
 
