@@ -1,13 +1,16 @@
 """License scan by sentence rules, in DataFrame functions only.
 
 A text is cut into sentences, each is normalised to lower-case letters and digits, and those that equal a known licence
-sentence, or that do once lines wrapped within a sentence are joined, become its identifier. The sequence of a text's identifiers, in order, is matched against ordered rules: a rule
-holds if its identifiers occur in that order, whatever stands between. A licence whose rule is part of another one's that
-holds is left out. Everything happens within a row: no shuffle, no group, and nothing that grows with the corpus.
+sentence or one of the patterns with a free part (holders, Creative Commons notices), or that do once lines wrapped within
+a sentence are joined, become its identifier. The sequence of a text's identifiers, in order, is matched against ordered
+rules: a rule holds if its identifiers occur in that order, whatever stands between. A licence whose rule is part of
+another one's that holds is left out. Everything happens within a row: no shuffle, no group, and nothing that grows with
+the corpus.
 
 Defined results: a null text has no sentences; a sentence without letters or digits isn't counted; a sentence that occurs
 twice gives its identifier twice; a licence is named once, in the order of the rules; rows are judged one by one, so
-repeated rows give repeated results; an empty table gives no rows; other columns aren't read.
+repeated rows give repeated results; very long texts are scanned whole; an empty table gives no rows; other columns,
+whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import col
+
 #: Known licence sentences by identifier, as published, before normalisation.
 SENTENCES: dict[str, str] = {
     "mit-name": "The MIT License (MIT)",
@@ -57,6 +62,13 @@ SENTENCES: dict[str, str] = {
     "unlicense-free": "This is free and unencumbered software released into the public domain",
     "unlicense-anyone": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
     "rights-reserved": "All rights reserved",
+    "apache-title": "Apache License Version 2.0, January 2004",
+    "apache-terms": "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+    "gpl3-title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "gpl2-title": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "lgpl3-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "agpl3-title": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "gnu-verbatim": "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed",
 }
 
 #: Ordered rules - name of the licence, kind, identifiers in order.
@@ -85,8 +97,19 @@ RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("Unlicense", "text", ("unlicense-free", "unlicense-anyone")),
     ("Unlicense", "notice", ("unlicense-free",)),
     ("proprietary", "notice", ("rights-reserved",)),
+    ("Apache-2.0", "full text", ("apache-title", "apache-terms")),
+    ("GPL-3.0", "full text", ("gpl3-title", "gnu-verbatim")),
+    ("GPL-2.0", "full text", ("gpl2-title", "gnu-verbatim")),
+    ("LGPL-3.0", "full text", ("lgpl3-title", "gnu-verbatim")),
+    ("AGPL-3.0", "full text", ("agpl3-title", "gnu-verbatim")),
 )
 
+#: Sentences with a free part, the holder's name, as patterns over normalised sentences.
+HOLDERS: dict[str, str] = {
+    "bsd-name": "neither the names? of (?:[a-z0-9]+ ){1,15}nor the names of (?:its|their|any) contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-warranty": "this software is provided by (?:[a-z0-9]+ ){1,15}as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+}
+
 #: Creative Commons notices as patterns over normalised sentences - licences with or without version, CC0, and links.
 _CC_LEAD = r"(?:(?:this|the)(?: [a-z]+){1,2} is )?(?:(?:dual )?(?:licensed|released|available|distributed|published|shared|made available) (?:under|with) )?(?:the terms of )?(?:the |an? )?"
 _CC_KIND = r"(?:by|attribution)(?: nc| non ?commercial)?(?: sa| share ?alike| nd| no ?deriv(?:ative)?s?(?: works)?)?"
@@ -95,7 +118,7 @@ CC = rf"(?:{_CC_LEAD}(?:spdx license identifier )?(?:cc|creative commons) {_CC_K
 CC_ZERO = rf"(?:{_CC_LEAD}(?:(?:cc|creative commons)(?: cc ?0| zero)|cc0)(?: 1 0)?(?: universal)?(?: cc0 1 0)?(?: public domain dedication)?(?: licen[sc]e)?)"
 CC_LINK = rf"(?:(?:[a-z0-9]+ ){{0,12}}?(?:www )?creativecommons org (?:licenses {_CC_KIND} [1-4] [05]|publicdomain zero 1 0)(?: [a-z0-9]+){{0,3}})"
 
-#: Kinds and versions, for rules like CC-BY-NC-4.0; the SQL knows only the two long notices above.
+#: Kinds and versions, for rules like CC-BY-NC-4.0.
 CC_RULES = tuple((f"CC-{kind.upper()}" + (f"-{version}" if version else ""), "notice", (f"cc-{kind}" + (f"-{version.removesuffix('.0')}" if version else ""),)) for kind in ("by", "by-nc", "by-sa", "by-nd", "by-nc-sa", "by-nc-nd") for version in ("4.0", "3.0", "2.5", "2.0", "1.0", ""))
 SCAN_RULES = (*RULES, *(r for r in CC_RULES if r not in RULES), ("CC0-1.0", "notice", ("cc0",)))
 
@@ -148,13 +171,22 @@ def lines_of(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r" ?([\n\f]) ?", "$1"), r"\n{2,}|\n*\f[\n\f]*", "\f"), r"^ +| +\z", "")
 
 
+def wrapped(space: str) -> str:
+    """One pattern for all known sentences, in which `space` stands for a space or the break of a wrapped line."""
+    parts = (*sorted(known_sentences(), key=len, reverse=True), *HOLDERS.values(), CC_ZERO, CC, CC_LINK)  # the longest first: another one may end at a line break within it
+    return "|".join(p.replace(" ?", "\0").replace(" ", space).replace("\0", space + "?") for p in parts)
+
+
 def identifiers(text: Column) -> Column:
     """The identifiers of the known sentences, in order; a sentence may be wrapped over any lines."""
-    known = known_sentences()
-    table = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
-    wrapped = "|".join(t.replace(" ?", "[ \\n]?").replace(" ", "[ \\n]").replace("[[ \\n]\\n]", "[ \\n]") for t in (*sorted(known, key=len, reverse=True), CC_ZERO, CC, CC_LINK))  # the longest first: another one may end at a line break within it
-    found = F.regexp_extract_all(lines_of(text), F.lit(rf"(?:^|[\n\f])({wrapped})(?=[\n\f]|\z)"), F.lit(1))
-    return F.transform(F.transform(found, lambda s: F.translate(s, "\n", " ")), lambda s: F.coalesce(F.try_element_at(table, s), _creative_commons(s)))
+    table = F.create_map(*(F.lit(x) for pair in known_sentences().items() for x in pair))
+    found = F.regexp_extract_all(lines_of(text), F.lit(rf"(?:^|[\n\f])({wrapped("[ \\n]")})(?=[\n\f]|\z)"), F.lit(1))
+
+    def name(s: Column) -> Column:
+        free = [F.when(s.rlike(rf"\A(?:{pattern})\z"), F.lit(i)) for i, pattern in HOLDERS.items()]
+        return F.coalesce(F.try_element_at(table, s), *free, _creative_commons(s))
+
+    return F.transform(F.transform(found, lambda s: F.translate(s, "\n", " ")), name)
 
 
 def _creative_commons(s: Column) -> Column:
@@ -168,7 +200,7 @@ def _creative_commons(s: Column) -> Column:
 
 def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_sentences, n_known, sentence_ids (in order, comma-joined), licenses (comma-joined)."""
-    found = docs.select(F.col(doc_id).alias("doc_id"), sentences(F.col(text)).alias("parts"), identifiers(F.col(text)).alias("ids"))
+    found = docs.select(col(doc_id).alias("doc_id"), sentences(col(text)).alias("parts"), identifiers(col(text)).alias("ids"))
     found = found.select("doc_id", F.size("parts").cast("long").alias("n_sentences"), "ids")
     line = F.concat(F.lit(" "), F.array_join("ids", "  "), F.lit(" "))  # each identifier with a space of its own on both sides
     holds = [F.col("line").rlike(rule_pattern(ids)) for _, _, ids in SCAN_RULES]
@@ -183,31 +215,42 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
 
 def scan_sql() -> str:
-    """The scan as DuckDB SQL, from the same tables of sentences and rules."""
+    """The scan as DuckDB SQL, from the same tables of sentences, patterns and rules."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     table = ", ".join(f"({quoted(t)}, {quoted(i)})" for t, i in known_sentences().items())
-    holds = [f"regexp_matches(line, {quoted(rule_pattern(ids))})" for _, _, ids in RULES]
+    holds = [f"regexp_matches(line, {quoted(rule_pattern(ids))})" for _, _, ids in SCAN_RULES]
     names = []
-    for k, (name, _, _) in enumerate(RULES):
-        names.append(f"{{'k': {k}, 'name': CASE WHEN " + " AND ".join([holds[k], *(f"NOT {holds[o]}" for o in _covered(k))]) + f" THEN {quoted(name)} END}}")
-    return f"""
-WITH known(sentence, id) AS (VALUES {table}), d AS (
+    for k, (name, _, _) in enumerate(SCAN_RULES):
+        names.append(f"{{'k': {k}, 'name': CASE WHEN " + " AND ".join([holds[k], *(f"NOT {holds[o]}" for o in _covered(k, SCAN_RULES))]) + f" THEN {quoted(name)} END}}")
+    holders = " ".join(f"WHEN regexp_matches(s, {quoted(rf'\A(?:{p})\z')}) THEN {quoted(i)}" for i, p in HOLDERS.items())
+    # each break stands twice, so that one sentence's end can be the next one's beginning without looking ahead
+    pattern = rf"[\n\f]({wrapped(r'(?: |\n\n)')})[\n\f]"
+    return rf"""
+WITH known(s, id) AS (VALUES {table}), d AS (
   SELECT doc_id, row_number() OVER () AS r, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents
-), s AS (
-  SELECT r, unnest(range(1, len(p) + 1)) AS k, unnest(p) AS p FROM (SELECT r, string_split_regex(t, {quoted(SPLIT)}) AS p FROM d)
-), n AS (
-  SELECT r, k, trim(regexp_replace(p, '[^a-z0-9]+', ' ', 'g')) AS sentence FROM s
 ), c AS (
-  SELECT r, count(*) AS n_sentences FROM n WHERE sentence <> '' GROUP BY r
-), f AS (
-  SELECT r, list(id ORDER BY k) AS ids FROM n JOIN known USING (sentence) GROUP BY r
+  SELECT r, count(*) AS n_sentences FROM (SELECT r, unnest(string_split_regex(t, {quoted(SPLIT)})) AS p FROM d) WHERE regexp_matches(p, '[a-z0-9]') GROUP BY r
+), e AS (
+  SELECT r, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\f', ' ', 'g'), '[.;:!?]+(?:[ \t\r\n]+|\z)', chr(12), 'g'), '\r\n?', chr(10), 'g'), '[^a-z0-9\n\f]+', ' ', 'g') AS t FROM d
 ), l AS (
-  SELECT r, ids, ' ' || array_to_string(ids, '  ') || ' ' AS line FROM f
-), m AS (
-  SELECT r, name, min(k) AS k FROM (SELECT r, unnest([{", ".join(names)}], recursive := true) FROM l) WHERE name IS NOT NULL GROUP BY r, name
+  SELECT r, regexp_replace(regexp_replace(regexp_replace(t, ' ?([\n\f]) ?', '\1', 'g'), '\n{{2,}}|\n*\f[\n\f]*', chr(12), 'g'), '^ +| +\z', '', 'g') AS t FROM e
+), f AS (
+  SELECT r, regexp_extract_all(chr(12) || regexp_replace(t, '([\n\f])', '\1\1', 'g') || chr(12), {quoted(pattern)}, 1) AS found FROM l
+), s AS (
+  SELECT r, unnest(range(1, len(found) + 1)) AS k, replace(unnest(found), chr(10) || chr(10), ' ') AS s FROM f
+), i AS (
+  SELECT r, k, CASE WHEN id IS NOT NULL THEN id {holders} WHEN regexp_matches(s, 'cc ?0|zero') THEN 'cc0'
+    ELSE 'cc-by' || CASE WHEN regexp_matches(s, ' nc(?: |\z)| non ?commercial') THEN '-nc' ELSE '' END || CASE WHEN regexp_matches(s, ' sa(?: |\z)| share ?alike') THEN '-sa' ELSE '' END
+      || CASE WHEN regexp_matches(s, ' nd(?: |\z)| no ?deriv') THEN '-nd' ELSE '' END
+      || CASE WHEN regexp_matches(s, ' [1-4] [05](?: |\z)') THEN '-' || replace(replace(trim(regexp_extract(s, ' [1-4] [05](?: |\z)', 0)), ' ', '.'), '.0', '') ELSE '' END END AS id
+  FROM s LEFT JOIN known USING (s)
 ), g AS (
+  SELECT r, ids, ' ' || array_to_string(ids, '  ') || ' ' AS line FROM (SELECT r, list(id ORDER BY k) AS ids FROM i GROUP BY r)
+), m AS (
+  SELECT r, name, min(k) AS k FROM (SELECT r, unnest([{", ".join(names)}], recursive := true) FROM g) WHERE name IS NOT NULL GROUP BY r, name
+), n AS (
   SELECT r, string_agg(name, ',' ORDER BY k) AS licenses FROM m GROUP BY r
 )
 SELECT doc_id, CAST(coalesce(n_sentences, 0) AS BIGINT) AS n_sentences, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_known, coalesce(array_to_string(ids, ','), '') AS sentence_ids, coalesce(licenses, '') AS licenses
-FROM d LEFT JOIN c USING (r) LEFT JOIN l USING (r) LEFT JOIN g USING (r)
+FROM d LEFT JOIN c USING (r) LEFT JOIN g USING (r) LEFT JOIN n USING (r)
 """
