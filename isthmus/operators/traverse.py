@@ -6,6 +6,8 @@ that can't be reached have no row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,18 +19,23 @@ from .stats import bin_edges, histogram
 KEY = ["source", "id"]
 
 
-def multi_bfs(g: Graph, sources: DataFrame, max_hops: int | None = None, targets: DataFrame | None = None) -> DataFrame:
+def multi_bfs(g: Graph, sources: DataFrame, max_hops: int | None = None, targets: DataFrame | None = None, enough: int | None = None) -> DataFrame:
     """(source, id, d, parent) from each source id; parent is the smallest vertex one hop nearer, null at the source.
 
     In an undirected graph new vertices can only touch the last two layers, so only those are excluded. With targets
-    (ids), the search ends when all are reached from all sources.
+    (ids), the search ends when all are reached from all sources, and with enough after the layer with which there are
+    so many rows.
     """
     edges = g.edges.select("src", "dst")
     layer = cut_plan(sources.select(F.col("id").alias("source"), "id").distinct().join(g.vertices.select("id"), "id", "left_semi").select("source", "id", F.lit(0).cast("long").alias("d"), F.lit(None).cast("long").alias("parent")))
     layers, hop = [layer], 0
     goal = None if targets is None else layer.count() * targets.select("id").distinct().count()
-    met = 0
+    met = seen = 0
     while max_hops is None or hop < max_hops:
+        if enough is not None:
+            seen += layer.count()
+            if seen >= enough:
+                break
         if goal is not None:
             met += layer.join(targets.select("id").distinct(), "id", "left_semi").count()
             if met >= goal:
@@ -70,48 +77,81 @@ def multi_target_hops(g: Graph, source: int, targets: DataFrame) -> DataFrame:
 
 def bounded_bfs(g: Graph, source: int, most: int) -> DataFrame:
     """(id, d) of the `most` vertices nearest to the source, without it; the last layer is cut by id."""
-    layers, seen, hop = bfs(g, source, 1), 0, 1
-    while True:
-        seen = layers.count() - 1
-        if seen >= most:
-            break
-        more = bfs(g, source, hop * 2)
-        hop *= 2
-        if more.count() == layers.count():
-            break
-        layers = more
-    return layers.where("d > 0").orderBy("d", "id").limit(most).select("id", "d")
+    found = multi_bfs(g, _one(g, source), enough=most + 1)
+    return found.where("d > 0").orderBy("d", "id").limit(most).select("id", "d")
+
+
+class _Layers:
+    """Rows (key.., d) of a search as checkpointed layers, each holding what one round improved; now and then they become one."""
+
+    def __init__(self, key: list[str], first: DataFrame, most: int = 6) -> None:
+        self.key, self.rows, self.most = key, [first], most
+
+    def best(self) -> DataFrame:
+        out = self.rows[0]
+        for x in self.rows[1:]:
+            out = out.union(x)
+        return out if len(self.rows) == 1 else out.groupBy(*self.key).agg(F.min("d").alias("d"))
+
+    def improved(self, step: DataFrame) -> DataFrame:
+        """The rows of a step that are new or better, as the next layer."""
+        base = self.best().withColumnRenamed("d", "known")
+        fresh = cut_plan(step.join(base, self.key, "left").where("known IS NULL OR d < known").select(*self.key, "d"))
+        if len(self.rows) >= self.most:
+            self.rows = [cut_plan(self.best())]
+        self.rows.append(fresh)
+        return fresh
+
+
+def _relaxed(fresh: DataFrame, hops: int, one: Callable[[DataFrame], DataFrame], key: list[str]) -> DataFrame:
+    """Least distances over 1 to `hops` further edges from the fresh rows, in one plan."""
+    out = None
+    for _ in range(hops):
+        fresh = one(fresh).groupBy(*key).agg(F.min("d").alias("d"))
+        out = fresh if out is None else out.union(fresh)
+    return out.groupBy(*key).agg(F.min("d").alias("d")) if hops > 1 else out
 
 
-def multi_sssp(g: Graph, sources: DataFrame, limit: float | None = None, strict: bool = True, avoid: DataFrame | None = None, max_rounds: int = 100_000) -> DataFrame:
+def multi_sssp(g: Graph, sources: DataFrame, limit: float | None = None, strict: bool = True, avoid: DataFrame | None = None, target: int | None = None, hops: int = 2, max_rounds: int = 100_000) -> DataFrame:
     """(source, id, d): least weight sums from each source; only distances below the limit (or up to it, if not strict).
 
-    A round relaxes the edges of the rows that improved. With avoid, (source, src, dst) rows, a source doesn't use those edges.
+    A round relaxes `hops` edges from the rows that improved, and stores only what it improves. With avoid, (source, src,
+    dst) rows, a source doesn't use those edges. With a target, rows no nearer than it are searched no further, so only
+    its distance and those of nearer vertices are final.
     """
     edges = g.edges.select("src", "dst", "w")
-    best = cut_plan(sources.select(F.col("id").alias("source"), "id").distinct().withColumn("d", F.lit(0.0)))
-    fresh = best
-    for _ in range(max_rounds):
-        step = fresh.select("source", F.col("id").alias("src"), "d").join(edges, "src")
+    fresh = cut_plan(sources.select(F.col("id").alias("source"), "id").distinct().withColumn("d", F.lit(0.0)))
+    layers = _Layers(KEY, fresh)
+
+    def one(rows: DataFrame) -> DataFrame:
+        step = rows.select("source", F.col("id").alias("src"), "d").join(edges, "src")
         if avoid is not None:
             step = step.join(avoid, ["source", "src", "dst"], "left_anti")
         step = step.select("source", F.col("dst").alias("id"), (F.col("d") + F.col("w")).alias("d"))
-        if limit is not None:
-            step = step.where(F.col("d") < limit if strict else F.col("d") <= limit)
-        step = step.groupBy(*KEY).agg(F.min("d").alias("d"))
-        fresh = cut_plan(step.alias("s").join(best.alias("b"), KEY, "left").where("b.d IS NULL OR s.d < b.d").select(*KEY, F.col("s.d").alias("d")))
+        return step if limit is None else step.where(F.col("d") < limit if strict else F.col("d") <= limit)
+
+    for _ in range(max_rounds):
+        start = fresh
+        if target is not None:
+            goal = layers.best().where(F.col("id") == target).select("source", F.col("d").alias("goal"))
+            start = fresh.join(goal, "source", "left").where("goal IS NULL OR d < goal").drop("goal")
+        fresh = layers.improved(_relaxed(start, hops, one, KEY))
         if fresh.isEmpty():
-            return best
-        best = cut_plan(best.join(fresh.select(*KEY), KEY, "left_anti").union(fresh))
+            return layers.best()
     raise RuntimeError("distances did not settle")
 
 
+def shortest_distance(g: Graph, source: int, target: int) -> DataFrame:
+    """(source, target, d) by weights, with an early stop at the target; no row if it can't be reached."""
+    return multi_sssp(g, _one(g, source), target=target).where(F.col("id") == target).select("source", F.col("id").alias("target"), "d")
+
+
 def sssp(g: Graph, source: int) -> DataFrame:
     """(id, d)."""
     return multi_sssp(g, _one(g, source)).drop("source")
 
 
-def within_distance(g: Graph, asked: DataFrame, strict: bool = True, ignore_edge: bool = False, max_rounds: int = 100_000) -> DataFrame:
+def within_distance(g: Graph, asked: DataFrame, strict: bool = True, ignore_edge: bool = False, hops: int = 2, max_rounds: int = 100_000) -> DataFrame:
     """(qid, within) for rows (qid, u, v, bound): whether a path from u to v is shorter than the bound; u = v always is.
 
     All questions run in one loop. If the vertices have positions, a row is dropped when its distance so far and the
@@ -126,25 +166,27 @@ def within_distance(g: Graph, asked: DataFrame, strict: bool = True, ignore_edge
         q = q.join(g.vertices.select(F.col("id").alias("v"), F.col("x").alias("vx"), F.col("y").alias("vy")), "v")
         edges = edges.join(g.vertices.select(F.col("id").alias("dst"), F.col("x").alias("dx"), F.col("y").alias("dy")), "dst")
     q = cut_plan(q)
-    best = cut_plan(q.select("qid", F.col("u").alias("id"), F.lit(0.0).alias("d")))
-    fresh, done = best, q.where("u = v").select("qid")
-    for _ in range(max_rounds):
-        step = fresh.withColumnRenamed("id", "src").join(q, "qid").join(edges, "src")
+    key = ["qid", "id"]
+    fresh = cut_plan(q.select("qid", F.col("u").alias("id"), F.lit(0.0).alias("d")))
+    layers = _Layers(key, fresh)
+    goals = q.select("qid", F.col("v").alias("id"))
+
+    def one(rows: DataFrame) -> DataFrame:
+        step = rows.withColumnRenamed("id", "src").join(q, "qid").join(edges, "src")
         if ignore_edge:
             step = step.where("NOT ((src = u AND dst = v) OR (src = v AND dst = u))")
         step = step.withColumn("n", F.col("d") + F.col("w")).where(ok(F.col("n")))
         if placed:
             step = step.where(ok(F.col("n") + dist("dx", "dy", "vx", "vy") * (1 - 1e-12)))
-        step = step.groupBy("qid", F.col("dst").alias("id")).agg(F.min("n").alias("d"))
-        fresh = cut_plan(step.alias("s").join(best.alias("b"), ["qid", "id"], "left").where("b.d IS NULL OR s.d < b.d").select("qid", "id", F.col("s.d").alias("d")))
+        return step.select("qid", F.col("dst").alias("id"), F.col("n").alias("d"))
+
+    done = None
+    for _ in range(max_rounds):
+        done = layers.best().join(goals, key, "left_semi").select("qid")  # answered questions are searched no further
+        fresh = layers.improved(_relaxed(fresh.join(done, "qid", "left_anti"), hops, one, key))
         if fresh.isEmpty():
-            break
-        met = fresh.alias("f").join(q.alias("q"), F.expr("f.qid = q.qid AND f.id = q.v")).select("f.qid")
-        done = cut_plan(done.union(met).distinct())
-        # answered questions are searched no further
-        fresh = cut_plan(fresh.join(done, "qid", "left_anti"))
-        best = cut_plan(best.join(fresh.select("qid", "id"), ["qid", "id"], "left_anti").union(fresh))
-    return asked.select("qid").join(done.withColumn("within", F.lit(True)), "qid", "left").select("qid", F.coalesce("within", F.lit(False)).alias("within"))
+            return asked.select("qid").join(done.withColumn("within", F.lit(True)), "qid", "left").select("qid", F.coalesce("within", F.lit(False)).alias("within"))
+    raise RuntimeError("questions are left unanswered")
 
 
 def path_nodes(g: Graph, source: int, target: int) -> DataFrame:

@@ -44,27 +44,17 @@ def depths(tree: DataFrame) -> DataFrame:
 
 
 def subtree_sizes(tree: DataFrame) -> DataFrame:
-    """(id, size): vertices below and with each. Sums move up one depth a round; each round only reads that depth."""
-    d = depths(tree)
-    rows = cut_plan(tree.join(d, "id").select("id", "parent", "depth"))
-    top = rows.agg(F.max("depth")).first()[0]
-    if top is None:
-        return rows.select("id", F.lit(1).cast("long").alias("size"))
-    below = None
-    parts = []
-    for k in range(top, -1, -1):
-        own = rows.where(F.col("depth") == k)
-        if below is None:
-            sized = own.select("id", "parent", F.lit(1).cast("long").alias("size"))
-        else:
-            sums = below.groupBy(F.col("parent").alias("id")).agg(F.sum("size").alias("s"))
-            sized = own.join(sums, "id", "left").select("id", "parent", (1 + F.coalesce("s", F.lit(0))).alias("size"))
-        below = cut_plan(sized)
-        parts.append(below.select("id", "size"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    """(id, size): vertices below and with each.
+
+    Sizes of the parts within 2^k steps double in depth from round to round: to a vertex's part come those of the vertices
+    whose 2^k-th ancestor it is. A tree of depth h takes log2 h rounds.
+    """
+    table, levels = lifting_table(tree)
+    size = cut_plan(tree.select("id", F.lit(1).cast("long").alias("size")))
+    for k in range(levels):
+        more = table.where(F.col("k") == k).join(size, "id").groupBy(F.col("anc").alias("id")).agg(F.sum("size").alias("more"))
+        size = cut_plan(size.join(more, "id", "left").select("id", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
+    return size
 
 
 def lca(tree: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,10 +27,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder: the session's setting, or a local one where none is set (tests)."""
+    """The shared checkpoint folder: the session's setting, or a local one where none is set and all runs on one machine (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         set_to = spark.conf.get("spark.checkpoint.dir", None)
+        if not set_to and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(set_to or tempfile.mkdtemp(prefix="isthmus-checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -52,9 +56,30 @@ def cut_plan(df: DataFrame) -> DataFrame:
     return DataFrame(bare, spark).checkpoint(eager=True)
 
 
+_TABLES: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Like cut_lineage, by a Parquet table in the shared folder: for small results of loops, read with file statistics."""
+    """Like cut_lineage, by a Parquet table in the shared folder, whose reads have exchanges of their own and file statistics."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    _TABLES.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that `stored` makes inside are deleted at the end; what is computed from them must be written by then."""
+    mark = len(_TABLES)
+    try:
+        yield
+    finally:
+        for path in _TABLES[mark:]:
+            delete(spark, path)
+        del _TABLES[mark:]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
