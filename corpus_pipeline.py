@@ -15,7 +15,7 @@ from isthmus.llm.jaccard import drop_near_duplicates
 from isthmus.llm.packing import pack
 from isthmus.llm.quality import fit_quality, keep_good
 from isthmus.llm.secrets import redact_secrets
-from isthmus.runtime import checkpoint_dir, prepare, read_table
+from isthmus.runtime import checkpoint_dir, delete, prepare, read_table, scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +54,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents."""
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages over the documents. A stage's rows and its intermediate tables are deleted once the next stage's are written."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = f"{checkpoint_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
