@@ -1,7 +1,7 @@
 """Media columns: texts stored as progressive JPEG files, and files read back as full-resolution RGB tensors.
 
-`store_media` makes the files, `rgb_tensors` decodes them into tensor columns, and `media_features` computes features of
-the stored files and tensors.
+`store_media` makes the files, `rgb_tensors` decodes them into tensor columns with features of these bytes, and
+`media_features` gives the features alone.
 
 Defined results: a null text is empty; the payload is the UTF-8 text filled with zero bytes to a positive multiple of 64,
 so an empty text has one block; equal texts give equal files, payloads, tensors and features; very long texts make one
@@ -31,36 +31,27 @@ def store_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return per_batch(docs, [doc_id, text], store, "doc_id long, n_bytes long, media binary")
 
 
-FILE = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
-
-
 def rgb_tensors(media: DataFrame) -> DataFrame:
-    """What each file holds, payload and hashes, and its tensor: height, width and pixels (row-major RGB bytes)."""
+    """What each file holds: payload sizes and hashes, its tensor (height, width and pixels, row-major RGB bytes), and a feature of the tensor as stored."""
 
     def tensors(ids: list, sizes: list, files: list) -> dict:
-        out: dict = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "height", "width", "pixels")}
+        out: dict = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "height", "width", "pixels", "feature")}
         for f in files:
             image = Image(f)
             payload = image.payload()
-            made = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(f), hashlib.sha256(f).hexdigest(), image.height, image.width, b"".join(x.tobytes() for x in image.strips()))
+            h, w, pixels = image.height, image.width, b"".join(x.tobytes() for x in image.strips())
+            stored = np.frombuffer(pixels, np.uint8).reshape(h, w, 3)
+            made = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(f), hashlib.sha256(f).hexdigest(), h, w, pixels, feature(stored))
             for column, x in zip(out.values(), made, strict=True):
                 column.append(x)
         return {"doc_id": ids, "n_bytes": sizes} | out
 
-    return per_batch(media, ["doc_id", "n_bytes", "media"], tensors, FILE + ", height int, width int, pixels binary")
+    return per_batch(media, ["doc_id", "n_bytes", "media"], tensors, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, height int, width int, pixels binary, feature string")
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Sizes and hashes of the stored files, and a feature of the tensors, read back from their column."""
-    tensors = rgb_tensors(media)
-    names = tensors.columns[:-3]
-
-    def look(*columns: list) -> dict:
-        rest, (heights, widths, pixels) = columns[:-3], columns[-3:]
-        made = [feature(np.frombuffer(p, np.uint8).reshape(h, w, 3)) for h, w, p in zip(heights, widths, pixels, strict=True)]
-        return dict(zip(names, rest, strict=True)) | {"feature": made}
-
-    return per_batch(tensors, tensors.columns, look, FILE + ", feature string")
+    """Sizes and hashes of the stored files, and the features of their tensors, without the tensors."""
+    return rgb_tensors(media).drop("height", "width", "pixels")
 
 
 def feature(rgb: np.ndarray) -> str:
