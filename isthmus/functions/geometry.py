@@ -75,6 +75,11 @@ def polygon_centroid(xs: Column, ys: Column) -> tuple[Column, Column]:
     return part(xs) / (3 * twice), part(ys) / (3 * twice)
 
 
+def polygon_box(xs: Column, ys: Column) -> tuple[Column, Column, Column, Column]:
+    """Least x and y, largest x and y."""
+    return F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)
+
+
 def uniform(seed: int, *keys: Column | str, draw: int = 0) -> Column:
     """A number in [0, 1) that depends on the seed, the keys and the draw only, whatever the partitioning."""
     h = F.xxhash64(F.lit(seed), F.lit(draw), *(col(k) for k in keys))

@@ -38,6 +38,7 @@ def all_bfs_diameter(g: Graph) -> int | None:
 def contracted_double_sweep(g: Graph, start: int | None = None) -> DataFrame:
     """Double sweep on the largest component of the graph with paths contracted."""
     small = largest_component(contract_degree2(g))
+    small = Graph(cut_plan(small.vertices), cut_plan(small.edges))
     first = small.vertices.agg(F.min("id")).first()[0] if start is None else start
     return double_sweep(small, first)
 

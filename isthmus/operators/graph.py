@@ -188,6 +188,49 @@ class Graph:
         """Without k random edges; all vertices stay."""
         return self.remove_edges(self.random_edges(k, seed))
 
+    def remove_random_edge_connected(self, seed: int, tries: int = 1000) -> tuple[Graph, int, int]:
+        """Without one random edge whose ends stay connected, and its ends: random edges are tried in turn until one is no bridge."""
+        from .traverse import hop_distance
+
+        for e in self.random_edges(tries, seed).collect():
+            left = self.remove_edges(self.edges.sparkSession.createDataFrame([(e.src, e.dst)], "src long, dst long"))
+            left = Graph(left.vertices, cut_plan(left.edges), left.directed)
+            if not hop_distance(left, e.src, e.dst).isEmpty():
+                return left, e.src, e.dst
+        raise ValueError(f"none of {tries} random edges can go without parting its ends")
+
+    def thin_to_degrees(self, target: dict[int, float], seed: int, slack: float = 1.2, max_rounds: int = 10_000) -> Graph:
+        """Random edges go at vertices of a degree that too many have, from the largest degree down to 2, until at most slack times its share is left; then the largest component.
+
+        A round takes half of the vertices that are too many of one degree (at least one), chosen by a hash, and a random
+        edge of each. Above the largest degree that has a share, all vertices lose half of their surplus at once. So rounds
+        are logarithmic in degrees, and in the vertices for each degree that has a share.
+        """
+        from .components import largest_component
+
+        n = self.vertices.count()
+        edges = cut_plan(self.canonical().select("src", "dst"))
+        most = max((k for k, share in target.items() if share > 0), default=1)
+        degree = most
+        for turn in range(max_rounds):
+            g = Graph(self.vertices, edges.union(swapped(edges)))
+            deg = cut_plan(g.degrees())
+            counts = {r.degree: r["count"] for r in deg.where(F.col("degree") <= most).groupBy("degree").count().collect()}  # one row a degree with a share
+            high = deg.where(F.col("degree") > most).select(F.col("id").alias("src"), F.ceil((F.col("degree") - most) / 2).alias("quota"))
+            if not high.isEmpty():
+                chosen = high
+            else:
+                while degree > 1 and counts.get(degree, 0) <= slack * int(target.get(degree, 0.0) * n):
+                    degree -= 1
+                if degree <= 1:
+                    return largest_component(g)
+                over = counts[degree] - int(slack * int(target.get(degree, 0.0) * n))
+                chosen = deg.where(F.col("degree") == degree).withColumn("u", uniform(seed + turn, "id")).orderBy("u", "id").limit(max(1, over // 2)).select(F.col("id").alias("src"), F.lit(1).cast("long").alias("quota"))
+            place = F.row_number().over(Window.partitionBy("src").orderBy(uniform(seed + turn, "src", "dst"), "dst"))
+            picked = g.edges.join(chosen, "src").withColumn("place", place).where("place <= quota")
+            edges = cut_plan(edges.join(picked.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), ["src", "dst"], "left_anti"))
+        raise RuntimeError("degrees did not settle")
+
     def enforce_average_degree(self, degree: float, seed: int) -> Graph:
         """With floor(n * degree / 2) random edges kept; all vertices stay, a largest component can be taken after."""
         n = self.vertices.count()

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..runtime import cut_plan
 from .components import connected_components
@@ -287,32 +288,34 @@ def nested_dissection(g: Graph, leaf: int = 50, imbalance: float = 0.33, max_rou
     return ranked.select(F.col("id").alias("node"), "rank")
 
 
-def separate_recursively(g: Graph, least: int = 100, largest_only: bool = False, most: int | None = None, imbalance: float = 0.33) -> DataFrame:
+def separate_recursively(g: Graph, least: int = 100, follow: str = "all", most: int | None = None, imbalance: float = 0.33) -> DataFrame:
     """(n, s, level): sizes of parts of more than `least` vertices and of their separators, level by level.
 
-    largest_only follows the largest part of each level only; most stops after so many separators (those of the last
-    level by component id).
+    follow: 'all' parts of a level, its 'largest' one, or its 'first' one (that with the smallest id). With most, parts
+    wait in a queue, those of one part by their smallest ids, and the first so many are separated.
     """
     out, level, seen = [], 0, 0
-    parts = cut_plan(connected_components(g))
+    parts = cut_plan(connected_components(g).withColumn("turn", F.lit(0).cast("long")))
     while True:
-        sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
-        if largest_only:
-            sizes = sizes.orderBy(F.desc("n"), "component").limit(1)
+        sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min("turn").alias("turn")).where(F.col("n") > least)
+        if follow != "all":
+            sizes = sizes.orderBy(*([F.desc("n")] if follow == "largest" else []), "component").limit(1)
         if most is not None:
-            sizes = sizes.orderBy("component").limit(most - seen)
+            sizes = sizes.orderBy("turn", "component").limit(most - seen)
         sizes = cut_plan(sizes)
         k = sizes.count()
         if not k:
             break
         seen += k
-        big = cut_plan(parts.join(sizes, "component").select("id", "component"))
+        big = cut_plan(parts.drop("turn").join(sizes, "component").select("id", "component"))
         part = g.induced(big.select("id"))
         cut = cut_plan(_by_part(part, big, imbalance))
         out.append(cut.groupBy("component").agg(F.count(F.lit(1)).alias("s")).join(sizes, "component").select("n", "s", F.lit(level).alias("level")))
         if most is not None and seen >= most:
             break
-        parts = cut_plan(connected_components(part.without_vertices(cut.select("id"))))
+        queue = sizes.select("component", F.lit(0).cast("long").alias("turn")) if most is None else sizes.select("component", (F.row_number().over(Window.orderBy("turn", "component"))).cast("long").alias("turn"))
+        turns = big.join(queue, "component").select("id", "turn")
+        parts = cut_plan(connected_components(part.without_vertices(cut.select("id"))).join(turns, "id"))
         level += 1
     if not out:
         return parts.select(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("s"), F.lit(0).alias("level")).limit(0)
@@ -322,6 +325,65 @@ def separate_recursively(g: Graph, least: int = 100, largest_only: bool = False,
     return total
 
 
+def _eccentricity(adj: list[list[int]], start: int) -> list[list[int]]:
+    """Breadth-first layers."""
+    seen, layers = {start}, [[start]]
+    while True:
+        layer = list(dict.fromkeys(w for v in layers[-1] for w in adj[v] if w not in seen))
+        if not layer:
+            return layers
+        seen.update(layer)
+        layers.append(layer)
+
+
+def part_diameter(adj: list[list[int]]) -> int:
+    """Exact hop diameter of a connected part: fringes of a central vertex from the outside in, until nothing beyond can be longer."""
+    a = _eccentricity(adj, max(range(len(adj)), key=lambda v: len(adj[v])))[-1][0]
+    layers = _eccentricity(adj, a)
+    best, at = len(layers) - 1, layers[-1][0]
+    for layer in reversed(layers[len(layers) // 2 : -1]):  # half-way back along a longest path from a
+        at = next(v for v in adj[at] if v in set(layer))
+    layers = _eccentricity(adj, at)
+    for k in range(len(layers) - 1, 0, -1):
+        if 2 * k <= best:
+            break
+        best = max(best, *(len(_eccentricity(adj, v)) - 1 for v in layers[k]))
+    return best
+
+
+def recursive_diameters(g: Graph, least: int = 100, imbalance: float = 0.33) -> DataFrame:
+    """(n, diameter, level): size and exact hop diameter of each part when the largest part of more than `least` vertices is separated again and again; level 0 is the largest component itself. One task a part."""
+    out, level = [], 0
+    parts = cut_plan(connected_components(g))
+    top = parts.groupBy("component").count().orderBy(F.desc("count"), "component").limit(1).select("component")
+    parts = cut_plan(parts.join(top, "component", "left_semi").select("id", "component"))
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        ids = rows["id"].to_pylist()
+        place = {v: i for i, v in enumerate(ids)}
+        adj = [[place[w] for w in near or ()] for near in rows["near"].to_pylist()]
+        return pa.table({"component": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([len(ids)], pa.int64()), "diameter": pa.array([part_diameter(adj)], pa.int64())})
+
+    while True:
+        part = g.induced(parts.select("id"))
+        lists = part.edges.join(parts.withColumnRenamed("id", "src"), "src").join(parts.select(F.col("id").alias("dst"), F.col("component").alias("other")), "dst").where("component = other").groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list("dst")).alias("near"))
+        found = cut_plan(parts.join(lists, "id", "left").groupBy("component").applyInArrow(run, "component long, n long, diameter long"))
+        out.append(found.select("n", "diameter", F.lit(level).alias("level")))
+        largest = found.orderBy(F.desc("n"), "component").limit(1).where(F.col("n") > least).select("component")
+        big = cut_plan(parts.join(largest, "component", "left_semi").select("id", "component"))
+        if big.isEmpty():
+            break
+        part = g.induced(big.select("id"))
+        parts = cut_plan(connected_components(part.without_vertices(_by_part(part, big, imbalance).select("id"))))
+        level += 1
+        if parts.isEmpty():
+            break
+    total = out[0]
+    for o in out[1:]:
+        total = total.union(o)
+    return total
+
+
 def separator_extension(g: Graph, separator: DataFrame) -> DataFrame:
     """One row: edges, length and number of the separator's part, and what is left without it."""
     part = g.induced(separator)

@@ -88,6 +88,44 @@ def hist2d(points: DataFrame, x: str, y: str, n: int) -> DataFrame:
     return points.crossJoin(F.broadcast(ends)).groupBy(cell(x, "x0", "x1").alias("bx"), cell(y, "y0", "y1").alias("by")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def hist2d_log(points: DataFrame, x: str, y: str, n: int) -> DataFrame:
+    """hist2d of the binary logarithms of two positive columns."""
+    return hist2d(points.where((F.col(x) > 0) & (F.col(y) > 0)).select(F.log2(x).alias("x"), F.log2(y).alias("y")), "x", "y", n)
+
+
+def binned_statistic(rows: DataFrame, x: str, y: str, k: int, log: bool = False) -> DataFrame:
+    """(bin, centre, mean) between k edges from 0 (from 1 if log) to the largest x; bins hold their lower edge, the last one both.
+
+    Edges are equally spaced, and centres midway; if log, equally spaced in the logarithm, and centres geometric. Bins
+    without rows have none.
+    """
+    r = rows.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    top = r.agg(F.max("x").alias("top"))
+    at = F.ln("x") / F.ln("top") if log else F.col("x") / F.col("top")
+    which = F.least(F.floor(at * (k - 1)), F.lit(k - 2)).cast("long")
+    edge = lambda i: F.exp(F.ln("top") * i / (k - 1)) if log else F.col("top") * i / (k - 1)
+    lo, hi = edge(F.col("bin")), edge(F.col("bin") + 1)
+    centre = F.sqrt(lo * hi) if log else (lo + hi) / 2
+    binned = r.where("x >= 1" if log else "x >= 0").crossJoin(F.broadcast(top)).withColumn("bin", which)
+    return binned.groupBy("bin", "top").agg(F.avg("y").alias("mean")).select("bin", centre.alias("centre"), "mean")
+
+
+def without_outliers(rows: DataFrame, x: str, below: float = 10_000_000) -> DataFrame:
+    """Rows with x below a limit."""
+    return rows.where(F.col(x) < below)
+
+
+def to_power(rows: DataFrame, y: str, power: int) -> DataFrame:
+    """Rows with y to a power: 3 makes a cube-root law a line, 2 a square-root law."""
+    return rows.withColumn(y, F.pow(F.col(y), F.lit(float(power))))
+
+
+def adjacency_lines(g: Graph) -> DataFrame:
+    """(id, line): each vertex with its neighbours as text, for print-outs."""
+    near = F.array_join(F.transform("neighbours", lambda v: v.cast("string")), " ")
+    return g.adjacency().select("id", F.concat(F.col("id").cast("string"), F.lit(": "), near).alias("line"))
+
+
 def line_fit(rows: DataFrame, x: Column, y: Column) -> DataFrame:
     """One row: slope, intercept, r, r2 of a least-squares line."""
     r = rows.select(x.alias("x"), y.alias("y"))

@@ -1,19 +1,25 @@
 """Readers and writers of common graph formats.
 
 Readers go through Spark, so any store it reaches will do, and parse in the JVM or in tasks. Writers sort by range and
-stream partition by partition, in order, to one file, since these formats are single files; they hold one partition.
+stream partition by partition, in order, to one file of any such store, since these formats are single files; the driver
+holds one partition.
 """
 
 from __future__ import annotations
 
-import os
 import struct
-from collections.abc import Iterable
+import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import Graph, numbered
+from ..operators.traverse import multi_sssp
 from ..runtime import cut_plan
 
 # text
@@ -100,54 +106,110 @@ def read_osm(spark: SparkSession, path: str, axis_order: str = "lonlat") -> Grap
     return Graph.from_edges(edges, known.join(used, "id", "left_semi"))
 
 
-def _write_lines(path: str, lines: Iterable[str], mode: str = "w") -> None:
-    with open(path, mode, encoding="utf-8") as f:
-        f.writelines(x + "\n" for x in lines)
+@contextmanager
+def _file(spark: SparkSession, path: str, append: bool = False) -> Iterator:
+    """A function that writes bytes to one file of any store that Spark reaches. It appears under its name when it is whole."""
+    jvm = spark._jvm
+    conf = spark._jsc.hadoopConfiguration()
+    to, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
+    fs = to.getFileSystem(conf)
+    fs.setWriteChecksum(False)
+    stream = fs.create(part, True)
+    held: list[bytes] = []
+    size = 0
+
+    def write(data: bytes) -> None:
+        nonlocal size
+        held.append(data)
+        size += len(data)
+        if size >= 1 << 20:
+            flush()
+
+    def flush() -> None:
+        nonlocal size
+        if held:
+            stream.write(bytearray(b"".join(held)))
+        held.clear()
+        size = 0
+
+    try:
+        if append and fs.exists(to):
+            old = fs.open(to)
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(old, stream, 1 << 16, False)
+            old.close()
+        yield write
+        flush()
+    except BaseException:
+        stream.close()
+        fs.delete(part, False)
+        raise
+    stream.close()
+    fs.delete(to, False)
+    fs.rename(part, to)
+
+
+def _write_lines(spark: SparkSession, path: str, lines: Iterable[str], append: bool = False) -> None:
+    with _file(spark, path, append) as write:
+        for x in lines:
+            write(x.encode() + b"\n")
 
 
 def _in_order(df: DataFrame, *keys: str) -> Iterable:
     return df.orderBy(*keys).toLocalIterator(prefetchPartitions=True)
 
 
-def write_vector(df: DataFrame, column: str, path: str, append: bool = False) -> None:
-    """One value a line, in the order of the values; append adds to a file."""
-    _write_lines(path, (str(r[0]) for r in _in_order(df.select(column), column)), "a" if append else "w")
+def write_vector(df: DataFrame, column: str, path: str, append: bool = False, order: str | None = None) -> None:
+    """One value a line, in the order of the values or of another column; append adds to a file."""
+    by = order or column
+    _write_lines(df.sparkSession, path, (str(r[0]) for r in _in_order(df.select(column, F.col(by).alias("__by")), "__by")), append)
 
 
-def clear_file(path: str) -> None:
-    open(path, "w").close()
+def clear_file(spark: SparkSession, path: str) -> None:
+    _write_lines(spark, path, ())
 
 
 def write_points(points: DataFrame, path: str, sep: str = " ") -> None:
     """'x y' lines in id order."""
-    _write_lines(path, (f"{r.x!r}{sep}{r.y!r}" for r in _in_order(points.select("id", "x", "y"), "id")))
+    _write_lines(points.sparkSession, path, (f"{r.x!r}{sep}{r.y!r}" for r in _in_order(points.select("id", "x", "y"), "id")))
 
 
-def write_pace(g: Graph, path: str) -> None:
+def _edge_lines(g: Graph, base: int) -> Iterator[str]:
+    return (f"{r.src + base} {r.dst + base}" for r in _in_order(g.canonical().select("src", "dst"), "src", "dst"))
+
+
+def _dense(g: Graph) -> tuple[Graph, int, int]:
+    """With ids from 0, and the numbers of vertices and edges."""
     h, _ = g.reindex()
-    n, m = h.vertices.count(), h.canonical().count()
-    _write_lines(path, [f"p tw {n} {m}"])
-    _write_lines(path, (f"{r.src + 1} {r.dst + 1}" for r in _in_order(h.canonical().select("src", "dst"), "src", "dst")), "a")
+    return h, h.vertices.count(), h.canonical().count()
+
+
+def write_edge_list(g: Graph, path: str) -> None:
+    """'n m', then 0-based 'u v' lines."""
+    h, n, m = _dense(g)
+    _write_lines(g.vertices.sparkSession, path, chain([f"{n} {m}"], _edge_lines(h, 0)))
+
+
+def write_pace(g: Graph, path: str) -> None:
+    """'p tw n m', then 1-based 'u v' lines."""
+    h, n, m = _dense(g)
+    _write_lines(g.vertices.sparkSession, path, chain([f"p tw {n} {m}"], _edge_lines(h, 1)))
 
 
 def write_metis(g: Graph, path: str) -> None:
-    h, _ = g.reindex()
-    n, m = h.vertices.count(), h.canonical().count()
+    """'n m', then a line of 1-based neighbours for each vertex."""
+    h, n, m = _dense(g)
     rows = h.adjacency().select("id", F.array_join(F.transform("neighbours", lambda x: (x + 1).cast("string")), " ").alias("line"))
-    _write_lines(path, [f"{n} {m}"])
-    _write_lines(path, (r.line for r in _in_order(rows, "id")), "a")
+    _write_lines(g.vertices.sparkSession, path, chain([f"{n} {m}"], (r.line for r in _in_order(rows, "id"))))
 
 
 def write_pigale(g: Graph, path: str) -> None:
     """'PIG:0 Graph', 1-based edges, '0 0'."""
-    _write_lines(path, ["PIG:0 Graph"])
-    _write_lines(path, (f"{r.src + 1} {r.dst + 1}" for r in _in_order(g.reindex()[0].canonical().select("src", "dst"), "src", "dst")), "a")
-    _write_lines(path, ["0 0"], "a")
+    _write_lines(g.vertices.sparkSession, path, chain(["PIG:0 Graph"], _edge_lines(g.reindex()[0], 1), ["0 0"]))
 
 
 def write_separators(rows: DataFrame, path: str) -> None:
     """'n s' lines, largest first."""
-    _write_lines(path, (f"{r.n} {r.s}" for r in rows.select("n", "s").orderBy(F.desc("n"), F.desc("s")).toLocalIterator()))
+    _write_lines(rows.sparkSession, path, (f"{r.n} {r.s}" for r in rows.select("n", "s").orderBy(F.desc("n"), F.desc("s")).toLocalIterator()))
 
 
 def read_separators(spark: SparkSession, path: str) -> DataFrame:
@@ -159,25 +221,47 @@ def write_histogram(hist: DataFrame, path: str) -> None:
     """Edges on the first line, counts on the second."""
     rows = hist.orderBy("bin").collect()  # one row a bin
     edges = [r.lo for r in rows] + [r.hi for r in rows[-1:]]
-    _write_lines(path, [" ".join(map(repr, edges)), " ".join(str(r.cnt) for r in rows)])
+    _write_lines(hist.sparkSession, path, [" ".join(map(repr, edges)), " ".join(str(r.cnt) for r in rows)])
 
 
 def write_edge_lengths(g: Graph, path: str) -> None:
     """One length a line for each directed edge."""
-    _write_lines(path, (repr(r.w) for r in _in_order(g.edge_lengths(canonical=False), "src", "dst")))
+    _write_lines(g.vertices.sparkSession, path, (repr(r.w) for r in _in_order(g.edge_lengths(canonical=False), "src", "dst")))
+
+
+def write_distances(g: Graph, sources: DataFrame, path: str) -> None:
+    """One weighted distance a line, from each source (id) to all that it reaches, sources one after another."""
+    d = cut_plan(multi_sssp(g, sources))
+    _write_lines(g.vertices.sparkSession, path, (repr(r.d) for r in _in_order(d, "source", "id")))
 
 
 # binary
 
 
 def read_binary_vector(spark: SparkSession, path: str, kind: str = "I") -> DataFrame:
-    """(pos, value) of a little-endian vector of struct type `kind` (I u32, i i32, f f32, d f64, Q u64): fixed-length records, split over tasks."""
+    """(pos, value) of a little-endian vector of struct type `kind` (I u32, i i32, f f32, d f64, Q u64).
+
+    The file is split over tasks by records of up to 4,096 values each, which numpy decodes.
+    """
     width = struct.calcsize("<" + kind)
     size = spark.read.format("binaryFile").option("pathGlobFilter", "*").load(path).select("length").first()[0]
     if size % width:
         raise ValueError(f"{path}: {size} bytes are no whole number of {width}-byte values")
-    rows = spark.sparkContext.binaryRecords(path, width).zipWithIndex().map(lambda r: (r[1], struct.unpack("<" + kind, bytes(r[0]))[0]))
-    return spark.createDataFrame(rows, f"pos long, value {'double' if kind in 'fd' else 'long'}")
+    n = size // width
+    each = next((k for k in range(min(4096, n), 0, -1) if n % k == 0), 1)
+    out = pa.schema([("pos", pa.int64()), ("value", pa.float64() if kind in "fd" else pa.int64())])
+    code = np.dtype({"I": "<u4", "i": "<i4", "f": "<f4", "d": "<f8", "Q": "<u8"}[kind])
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch["at"].to_numpy()
+            values = np.frombuffer(b"".join(batch["raw"].to_pylist()), code).astype(out.field("value").type.to_pandas_dtype())
+            yield pa.RecordBatch.from_arrays([pa.array((at[:, None] * each + np.arange(each)).ravel()), pa.array(values)], schema=out)
+
+    if not n:
+        return spark.createDataFrame([], f"pos long, value {'double' if kind in 'fd' else 'long'}")
+    records = spark.sparkContext.binaryRecords(path, width * each).zipWithIndex().map(lambda r: (r[1], bytearray(r[0])))
+    return spark.createDataFrame(records, "at long, raw binary").mapInArrow(decode, f"pos long, value {'double' if kind in 'fd' else 'long'}")
 
 
 def read_csr(spark: SparkSession, path: str, directed: bool = False, positions: bool = False, axis_order: str = "latlon") -> Graph:
@@ -201,26 +285,27 @@ def read_csr(spark: SparkSession, path: str, directed: bool = False, positions:
     return Graph(vertices, edges.distinct(), directed)
 
 
-def _write_binary(path: str, kind: str, values: Iterable) -> None:
+def _write_binary(spark: SparkSession, path: str, kind: str, values: Iterable) -> None:
     code = struct.Struct("<" + kind)
-    with open(path, "wb") as f:
+    with _file(spark, path) as write:
         for v in values:
-            f.write(code.pack(v))
+            write(code.pack(v))
 
 
 def write_binary_vector(df: DataFrame, column: str, order: str, path: str, kind: str = "I") -> None:
-    _write_binary(path, kind, (r[1] for r in _in_order(df.select(order, column), order)))
+    """The column's values in the order of another one, as little-endian values of a struct type."""
+    _write_binary(df.sparkSession, path, kind, (r[1] for r in _in_order(df.select(order, column), order)))
 
 
 def write_csr(g: Graph, path: str) -> None:
     """first_out and head as 32-bit numbers, and latitude (x) and longitude (y) as 32-bit floats if there are positions."""
-    os.makedirs(path, exist_ok=True)
+    spark = g.vertices.sparkSession
     h, _ = g.reindex()
     h = Graph(cut_plan(h.vertices), cut_plan(h.edges), h.directed)
     offsets = h.csr_offsets()
     total = h.edges.count()
-    _write_binary(f"{path}/first_out", "i", (v for part in ((r.first_out for r in _in_order(offsets, "id")), [total]) for v in part))
-    _write_binary(f"{path}/head", "i", (r.dst for r in _in_order(h.edges.select("src", "dst"), "src", "dst")))
+    _write_binary(spark, f"{path}/first_out", "i", chain((r.first_out for r in _in_order(offsets, "id")), [total]))
+    _write_binary(spark, f"{path}/head", "i", (r.dst for r in _in_order(h.edges.select("src", "dst"), "src", "dst")))
     if "x" in h.vertices.columns:
         for c, name in (("x", "latitude"), ("y", "longitude")):
-            _write_binary(f"{path}/{name}", "f", (r[1] for r in _in_order(h.vertices.select("id", c), "id")))
+            _write_binary(spark, f"{path}/{name}", "f", (r[1] for r in _in_order(h.vertices.select("id", c), "id")))

@@ -18,7 +18,7 @@ from ..operators.graph import Graph, swapped
 from ..operators.mst import spanning_forest
 from ..operators.proximity import delaunay_edges, rng_edges, with_points
 from ..operators.spatial import radius_join
-from ..operators.spanner import prune_detours
+from ..operators.spanner import greedy_spanner, prune_detours
 from ..runtime import cut_plan
 from . import kernels
 from .kernels import super_grid_width
@@ -207,17 +207,23 @@ def no_locality(spark: SparkSession, n: int, m: int, seed: int = 0) -> Graph:
     return t.add_edges(cut_plan(_extra_pairs(t, m - (n - 1), seed + 1)))
 
 
-def tree_locality(spark: SparkSession, n: int, m: int, seed: int = 0, power: float = -3.0, bound: int | None = None) -> Graph:
-    """A random tree and extra edges u-v for random u, v drawn with weight (tree distance)^power over distances above 1, up to `bound` hops; repeats are drawn once, so m is an upper limit.
+def tree_locality(spark: SparkSession, n: int, m: int, seed: int = 0, power: float = -3.0, bound: int | None = None, most: int | None = None) -> Graph:
+    """A random tree and extra edges u-v for random u, v drawn with weight (tree distance)^power over distances above 1, up to `bound` hops, or among the `most` vertices nearest to u (ties by id); repeats are drawn once, so m is an upper limit.
+
+    Hops in a tree are the distances through lowest common ancestors.
 
     A weighted draw is the least exponential race: min of -ln(u) / weight over the candidates, all sources at once.
     """
     from ..operators.traverse import multi_bfs
 
     t = random_tree(spark, n, seed)
+    t = Graph(cut_plan(t.vertices), cut_plan(t.edges))
     k = m - (n - 1)
     starts = spark.range(k).select(F.col("id").alias("draw"), F.floor(uniform(seed + 1, "id") * n).cast("long").alias("source"))
-    d = multi_bfs(t, starts.select(F.col("source").alias("id")).distinct(), max_hops=bound).where("d > 1")
+    d = multi_bfs(t, starts.select(F.col("source").alias("id")).distinct(), max_hops=bound)
+    if most is not None:
+        d = d.withColumn("turn", F.row_number().over(Window.partitionBy("source").orderBy("d", "id"))).where(F.col("turn") <= most)
+    d = d.where("d > 1")
     race = starts.join(d, "source").withColumn("key", -F.log(1 - uniform(seed + 2, "draw", "id")) / F.pow(F.col("d").cast("double"), F.lit(power)))
     best = race.groupBy("draw", "source").agg(F.min(F.struct("key", "id")).alias("b")).select(F.col("source").alias("src"), F.col("b.id").alias("dst"))
     return t.add_edges(cut_plan(best.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()))
@@ -282,6 +288,12 @@ def hierarchical_disks(spark: SparkSession, levels: list[tuple[int, float]], see
     return Graph.from_coordinate_edges(cut_plan(out), 1e12)
 
 
+def voronoi_road_network(spark: SparkSession, size: int, seed: int = 0, stretch: float = 4.0) -> Graph:
+    """The largest component of the sides of nested Voronoi cells, thinned to a greedy spanner."""
+    g = largest_component(kernel_graph(spark, "voronoi", size, seed))
+    return greedy_spanner(Graph(cut_plan(g.vertices), cut_plan(g.edges)), stretch)
+
+
 def sampled_family(spark: SparkSession, name: str, params: DataFrame) -> DataFrame:
     """(run_id, n, m) for rows (run_id, size, seed): graphs of a kernel family ('grid_degrees', 'bridged', 'voronoi', 'highway'), one task each."""
     return params.select("run_id", "size", "seed").repartition("run_id").mapInArrow(kernels.family_counts(name), "run_id long, n long, m long")
