@@ -137,7 +137,7 @@ def token_pieces(docs: DataFrame, path: str, most: int, groups: int, end_id: int
         finally:
             own.forget()
 
-    return docs.select(col(doc_id).cast("long"), col(text)).mapInArrow(cut, schema)
+    return docs.select(col(doc_id).cast("long").alias("id"), col(text).alias("body")).mapInArrow(cut, schema)
 
 
 def sum_of_squares(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:

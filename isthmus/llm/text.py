@@ -63,7 +63,8 @@ def per_batch(df: DataFrame, columns: list, fn: Callable[..., dict], schema: str
             if done:
                 done()
 
-    return df.select(*(col(c) if isinstance(c, str) else c for c in columns)).mapInArrow(run, schema)
+    # plain names: mapInArrow can't read columns with dots in theirs
+    return df.select(*((col(c) if isinstance(c, str) else c).alias(f"c{k}") for k, c in enumerate(columns))).mapInArrow(run, schema)
 
 
 def pieces(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
