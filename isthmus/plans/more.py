@@ -17,7 +17,7 @@ from ..operators import diameter as dia
 from ..operators import proximity, separator, spanner, spatial, stats, traverse, trees
 from ..operators.graph import Graph, numbered
 from ..runtime import checkpoint_dir, cut_plan, read_table
-from ..sources import formats, generate, studies
+from ..sources import boltzmann, formats, generate, studies
 from . import sql as Q
 from .catalogue import first_order, pt_stored, query, r6, sizes, trade, ud
 
@@ -754,3 +754,31 @@ def noise_graph_separators(spark, d):
     g = Graph(cut_plan(g.vertices), cut_plan(g.edges))
     t = separator.elimination_tree(g, separator.nested_dissection(g))
     return yes(spark, n=g.vertices.count(), positive=separator.separator_sizes(t).where("s < 1 OR s >= n").isEmpty())
+
+
+# Boltzmann sampling
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS trees, true AS counted, true AS near_mean, true AS capped FROM customer")
+def binary_trees(spark, d):
+    """Leaves are one more than nodes, colours alternate, and the mean size of trees with a black root is that of the branching process, within five standard errors; with a cap none is larger."""
+    runs = read_table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("run_id"), F.lit(11).cast("long").alias("seed"))
+    p, q = 0.6, 0.55  # chances of a leaf instead of a black and of a white node
+    t = cut_plan(boltzmann.sampled_trees(runs, 0.5, p, q, root="black"))
+    mean = (1 + 2 * (1 - q)) / (1 - 4 * (1 - q) * (1 - p))
+    shown = t.agg(F.count("nodes").alias("trees"), F.min(F.col("mixed") & (F.col("leaves") == F.col("nodes") + 1) & (F.col("black") + F.col("white") == F.col("nodes"))).alias("counted"), F.avg("nodes").alias("mean"), (F.stddev("nodes") / F.sqrt(F.count("nodes"))).alias("error"))
+    most = boltzmann.sampled_trees(runs, 0.5, p, q, root="black", most=5).join(t.select("run_id", F.col("nodes").alias("whole")), "run_id")
+    capped = most.agg(F.min((F.col("whole") <= 5).eqNullSafe(F.col("nodes").isNotNull())).alias("capped"))
+    return shown.crossJoin(capped).select("trees", "counted", (F.abs(F.col("mean") - mean) < 5 * F.col("error")).alias("near_mean"), "capped")
+
+
+@query("SELECT CASE WHEN v < 9 THEN 'binary trees' ELSE '3-connected networks' END AS section, CAST(CASE WHEN v < 9 THEN v ELSE v - 9 END AS INTEGER) AS vector, k, (v + k / 4.0)::DOUBLE AS value FROM (SELECT n_nationkey AS v, unnest([0, 1]) AS k FROM nation WHERE n_nationkey < 12)")
+def coefficients_round_trip(spark, d):
+    """A table of two cases with a vector for each nation; the second is read."""
+    at = place(spark)
+    n = nations(spark, d)
+    lines = n.where("id < 12").select((F.col("id") * 2 + 102).alias("k"), F.format_string("%s %s", F.col("id").cast("double").cast("string"), (F.col("id") + 0.25).cast("string")).alias("line"))
+    heads = spark.createDataFrame([(0, "#sections"), (1, ""), (2, "case10"), (3, "0.5"), (4, ""), (100, "case20"), (101, ""), (900, "case30"), (901, "0.75")], "k long, line string")
+    blanks = n.where("id < 12").select((F.col("id") * 2 + 103).alias("k"), F.lit("").alias("line"))
+    lines.union(heads).union(blanks).coalesce(1).orderBy("k").select("line").coalesce(1).write.text(at)
+    return boltzmann.read_coefficients(spark, at, 20)
