@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -208,6 +208,47 @@ def _hull(points: np.ndarray, ids: list[int]) -> list[int]:
     return chain(order) + chain(order[::-1]) if len(order) > 2 else order
 
 
+def concave_hull(points: np.ndarray, ids: list[int], concavity: float = 2.0) -> list[int]:
+    """A ring around all points that follows them inwards: a side goes to the inner point nearest to it and on, if that is nearer than the side's length over the concavity, no nearer to the sides next to it, and seen from both ends.
+
+    No point comes to lie outside: the triangle between a side and the point nearest to it is empty.
+    """
+    ring = _hull(points, ids)
+    if len(ring) < 3:
+        return ring
+    after = dict(zip(ring, ring[1:] + ring[:1], strict=True))
+    before = {b: a for a, b in after.items()}
+    inner = np.array(sorted(set(ids) - set(ring)), int)
+    sides = deque(after.items())
+
+    def distance(p: np.ndarray, a: int, b: int) -> np.ndarray:
+        u, v = points[a], points[b]
+        w = v - u
+        t = np.clip(((p - u) @ w) / max(float(w @ w), 1e-300), 0, 1)
+        return np.hypot(*(p - u - t[:, None] * w).T)
+
+    while sides and len(inner):
+        a, b = sides.popleft()
+        d = distance(points[inner], a, b)
+        k = int(d.argmin())
+        p = int(inner[k])
+        at = points[[p]]
+        if d[k] * concavity > math.dist(points[a], points[b]) or d[k] > min(distance(at, before[a], a)[0], distance(at, b, after[b])[0]):
+            continue
+        whole = [a]
+        while after[whole[-1]] != a:
+            whole.append(after[whole[-1]])
+        if not (_sees(points, a, p, whole) and _sees(points, p, b, whole)):
+            continue
+        after[a], after[p], before[p], before[b] = p, b, a, p
+        inner = np.delete(inner, k)
+        sides += [(a, p), (p, b)]
+    out = [ring[0]]
+    while after[out[-1]] != ring[0]:
+        out.append(after[out[-1]])
+    return out
+
+
 def _sees(points: np.ndarray, a: int, b: int, hull: list[int]) -> bool:
     """Whether the segment a-b crosses no side of the hull but at a or b."""
     for p, q in zip(hull, hull[1:] + hull[:1], strict=True):
@@ -219,7 +260,7 @@ def _sees(points: np.ndarray, a: int, b: int, hull: list[int]) -> bool:
 
 
 def bridged_blobs(size: int, seed: int) -> tuple[np.ndarray, Edges]:
-    """Normal blobs of about 80 points with a Delaunay graph each, merged along a spanning tree of their centres; each merge adds 2 floor(cbrt n) bridges between hull corners that see each other."""
+    """Normal blobs of about 80 points with a Delaunay graph each, merged along a spanning tree of their centres; each merge adds 2 floor(cbrt n) bridges between corners of concave hulls that see each other."""
     rng = np.random.default_rng(seed)
     sizes: list[int] = []
     while sum(sizes) < size:
@@ -238,7 +279,7 @@ def bridged_blobs(size: int, seed: int) -> tuple[np.ndarray, Edges]:
         p, q = part[a], part[b]
         if p == q:
             continue
-        hp, hq = _hull(points, members[p]), _hull(points, members[q])
+        hp, hq = concave_hull(points, members[p]), concave_hull(points, members[q])
         pairs = [(u, v) for u in hp for v in hq if _sees(points, u, v, hp) and _sees(points, u, v, hq)] or [min(((u, v) for u in hp for v in hq), key=lambda e: ((points[e[0]] - points[e[1]]) ** 2).sum())]
         merged = members[p] + members[q]
         k = min(len(pairs), 2 * int(round(len(merged) ** (1 / 3), 9)))
