@@ -580,12 +580,11 @@ def separator_parts(spark, d):
 
 @query("SELECT true AS follows_one, true AS in_budget, true AS shrinks")
 def separator_recursions(spark, d):
-    """First part, largest part and queue: one separator a level or as many as allowed, over ever smaller parts."""
-    g = generate.lattice(spark, 12)
-    first, largest = (separator.separate_recursively(g, 30, follow=f).orderBy("level").collect() for f in ("first", "largest"))
-    queue = separator.separate_recursively(g, 30, most=3).collect()
-    one = all([r.level for r in x] == list(range(len(x))) for x in (first, largest))
-    return yes(spark, follows_one=one and len(largest) > 1, in_budget=len(queue) == 3, shrinks=all(a.n > b.n for x in (first, largest) for a, b in zip(x, x[1:], strict=False)) and first[0].n == 144)
+    """Largest part and queue: one separator a level or as many as allowed, over ever smaller parts."""
+    g = generate.lattice(spark, 8)
+    largest = separator.separate_recursively(g, 20, follow="largest").orderBy("level").collect()
+    queue = separator.separate_recursively(g, 20, most=2).collect()
+    return yes(spark, follows_one=[r.level for r in largest] == list(range(len(largest))) and len(largest) > 1, in_budget=len(queue) == 2, shrinks=all(a.n > b.n for a, b in zip(largest, largest[1:], strict=False)) and largest[0].n == 64)
 
 
 @query("SELECT CAST(k AS BIGINT) AS size, count(*) AS samples, true AS fits FROM range(100, 500, 100) r(k), range(3) s(i) GROUP BY k")
@@ -595,9 +594,9 @@ def grid_separator_study(spark, d):
     return rows.groupBy("size").agg(F.count(F.lit(1)).alias("samples"), F.min((F.col("n") <= F.col("size")) & (F.col("s") <= 3 * F.sqrt("n")) & (F.col("s") > 0)).alias("fits"))
 
 
-@query("SELECT CAST(levels AS BIGINT) AS levels, CAST(width AS BIGINT) AS width, CAST(nodes AS BIGINT) AS nodes, true AS shrinks FROM (VALUES (1, 8, 64), (2, 4, 16 + 9 * 12)) t(levels, width, nodes)")
+@query("SELECT CAST(levels AS BIGINT) AS levels, CAST(width AS BIGINT) AS width, CAST(nodes AS BIGINT) AS nodes, true AS shrinks FROM (VALUES (1, 6, 36), (2, 3, 9 + 4 * 5)) t(levels, width, nodes)")
 def nested_grid_study(spark, d):
-    rows = studies.nested_grid_separators(spark, [(1, 8), (2, 4)], least=40).orderBy("levels", F.desc("n"))
+    rows = studies.nested_grid_separators(spark, [(1, 6), (2, 3)], least=20).orderBy("levels", F.desc("n"))
     return rows.groupBy("levels", "width").agg(F.max("n").alias("nodes"), F.min(F.col("s") < F.col("n")).alias("shrinks"))
 
 
