@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import dist
 from ..runtime import cut_plan
+from .disk import DiskGraph
 from .graph import Graph
 from .stats import bin_edges, histogram
 
@@ -117,17 +118,22 @@ def multi_sssp(g: Graph, sources: DataFrame, limit: float | None = None, strict:
 
     A round relaxes `hops` edges from the rows that improved, and stores only what it improves. With avoid, (source, src,
     dst) rows, a source doesn't use those edges. With a target, rows no nearer than it are searched no further, so only
-    its distance and those of nearer vertices are final.
+    its distance and those of nearer vertices are final. The edges of a DiskGraph are met on the grid, a hop a round.
     """
-    edges = g.edges.select("src", "dst", "w")
+    met = isinstance(g, DiskGraph) and avoid is None
+    hops = 1 if met else hops
+    edges = None if met else g.edges.select("src", "dst", "w")
     fresh = cut_plan(sources.select(F.col("id").alias("source"), "id").distinct().withColumn("d", F.lit(0.0)))
     layers = _Layers(KEY, fresh)
 
     def one(rows: DataFrame) -> DataFrame:
-        step = rows.select("source", F.col("id").alias("src"), "d").join(edges, "src")
-        if avoid is not None:
-            step = step.join(avoid, ["source", "src", "dst"], "left_anti")
-        step = step.select("source", F.col("dst").alias("id"), (F.col("d") + F.col("w")).alias("d"))
+        if met:
+            step = g.steps(rows)
+        else:
+            step = rows.select("source", F.col("id").alias("src"), "d").join(edges, "src")
+            if avoid is not None:
+                step = step.join(avoid, ["source", "src", "dst"], "left_anti")
+            step = step.select("source", F.col("dst").alias("id"), (F.col("d") + F.col("w")).alias("d"))
         return step if limit is None else step.where(F.col("d") < limit if strict else F.col("d") <= limit)
 
     for _ in range(max_rounds):

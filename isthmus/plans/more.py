@@ -19,7 +19,7 @@ from ..operators.graph import Graph, numbered
 from ..runtime import checkpoint_dir, cut_plan, read_table
 from ..sources import boltzmann, formats, generate, studies
 from . import sql as Q
-from .catalogue import first_order, pt_stored, query, r6, sizes, trade, ud
+from .catalogue import disks, first_order, pt_stored, query, r6, sizes, trade, ud
 
 
 def place(spark: SparkSession) -> str:
@@ -420,8 +420,7 @@ def path_midpoint(spark, d):
 @query(f"SELECT source, target, d FROM (SELECT (SELECT min(id) FROM z) AS source, id AS target, d FROM ({Q.SSSP}) z) WHERE d > 0 ORDER BY d DESC, target LIMIT 1".replace("(SELECT min(id) FROM z)", "(SELECT min(CAST(vec_id AS BIGINT)) FROM embeddings)"))
 def shortest_distance(spark, d):
     """To the farthest vertex, found by the search over all."""
-    g = ud(spark, d, 0.05).weighted()
-    g = Graph(g.vertices, cut_plan(g.edges))
+    g = disks(spark, d, 0.05)
     s = first_order(g)
     t = traverse.sssp(g, s).select("id", F.round("d", 6).alias("d")).orderBy(F.desc("d"), "id").first()["id"]
     return traverse.shortest_distance(g, s, t).select("source", "target", r6("d"))

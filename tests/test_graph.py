@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from isthmus.operators import components, diameter, planar, proximity, separator, spanner, stats, traverse, trees
+from isthmus.operators import components, diameter, disk, planar, proximity, separator, spanner, stats, traverse, trees
 from isthmus.operators.graph import Graph, numbered, running
 from isthmus.operators.mst import spanning_forest
 from isthmus.operators.triangulate import Triangulation, in_circle
@@ -254,3 +254,26 @@ def test_entry_works_without_the_training_data_package(monkeypatch):
     entry = importlib.import_module("__spark_entry__")
     assert "degree_cdf" in entry.queries() and not any(k.startswith("op1") for k in entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
     monkeypatch.delitem(sys.modules, "__spark_entry__")
+
+
+def clumped(spark, n, seed):
+    """Points with copies, a dense clump and lone ones."""
+    rng = np.random.default_rng(seed)
+    xy = np.round(np.r_[rng.normal(0, 0.05, (n, 2)), rng.uniform(-1, 1, (n // 4, 2)), np.full((5, 2), 0.01)], 3)
+    return spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "id long, x double, y double")
+
+
+def test_searches_without_stored_edges(spark, monkeypatch):
+    p = clumped(spark, 120, 3).localCheckpoint()
+    stored = Graph.from_edges(proximity.unit_disk_edges(p, 0.1), p).weighted()
+    sources = spark.createDataFrame([(0,), (7,), (130,)], "id long")
+    known = {(r.source, r.id): r.d for r in traverse.multi_sssp(stored, sources).collect()}
+    far = max((d, i) for (s, i), d in known.items() if s == 0)
+    monkeypatch.setattr(disk.DiskGraph, "edges", property(lambda self: pytest.fail("edges are asked for")))
+    g = disk.DiskGraph(p, 0.1)
+    found = {(r.source, r.id): r.d for r in traverse.multi_sssp(g, sources).collect()}
+    assert found.keys() == known.keys() and all(found[k] == pytest.approx(known[k], abs=1e-12) for k in known)
+    row = traverse.shortest_distance(g, 0, far[1]).first()
+    assert (row.source, row.target) == (0, far[1]) and row.d == pytest.approx(far[0])
+    near = {(r.source, r.id) for r in traverse.multi_sssp(g, sources, limit=0.15).collect()}
+    assert near == {k for k, d in known.items() if d < 0.15}
