@@ -193,7 +193,7 @@ def edge_length_dump(spark, d):
 
 @query(f"SELECT count(*) AS cnt, round(sum(d), 4) AS total FROM ({Q.SSSP})")
 def distance_dump(spark, d):
-    at, g = place(spark), ud(spark, d, 0.05).weighted()
+    at, g = place(spark), disks(spark, d, 0.05)
     formats.write_distances(g, g.vertices.agg(F.min("id").alias("id")), at)
     return formats.read_vector(spark, at).agg(F.count(F.lit(1)).alias("cnt"), F.round(F.sum(F.round("value", 6)), 4).alias("total"))
 
