@@ -134,51 +134,78 @@ def top_level_separator(tree: DataFrame, share: int = 20) -> DataFrame:
 
 
 def min_vertex_cut(adj: list[list[int]], sources: list[int], sinks: list[int]) -> list[int]:
-    """A least set of vertices that all paths from sources to sinks cross, ends included.
+    """A least set of vertices that all paths from sources to sinks cross, ends included; of all such sets the one nearest to the sources.
 
-    Each vertex v is an arc from 2v to 2v + 1 of capacity 1; flow grows along shortest augmenting paths. The cut is the
-    vertices that can be entered but not left in what remains.
+    Disjoint paths grow in turns, each a depth-first search from all sources that enters no place twice and tries
+    neighbours nearer to the sinks first. A vertex v is a place v before it and a place v + n behind it, with room for one
+    path between; back[v] is the vertex before v on its path, -1 off all paths, -2 where one starts. Only sources next to
+    other vertices start paths, and none goes through a source again. A turn without a new path has entered all that can
+    be reached.
     """
     n = len(adj)
-    start, end = 2 * n, 2 * n + 1
-    head: list[int] = []
-    room: list[int] = []
-    arcs: list[list[int]] = [[] for _ in range(2 * n + 2)]
-
-    def arc(a: int, b: int, capacity: int) -> None:
-        arcs[a].append(len(head))
-        head.append(b)
-        room.append(capacity)
-        arcs[b].append(len(head))
-        head.append(a)
-        room.append(0)
-
-    for v in range(n):
-        arc(2 * v, 2 * v + 1, 1)
-    for v in range(n):
-        for w in adj[v]:
-            arc(2 * v + 1, 2 * w, n)
+    first, last = bytearray(n), bytearray(n)
     for s in sources:
-        arc(start, 2 * s, n)
+        first[s] = 1
+    far = [n] * n
     for t in sinks:
-        arc(2 * t + 1, end, n)
+        last[t], far[t] = 1, 0
+    layer, depth = list(sinks), 0
+    while layer:
+        depth += 1
+        ahead = []
+        for v in layer:
+            for w in adj[v]:
+                if far[w] == n:
+                    far[w] = depth
+                    if not first[w]:
+                        ahead.append(w)
+        layer = ahead
+    near: list[list[int]] = [sorted((w for w in x if not first[w]), key=far.__getitem__) for x in adj]
+    starts = [s for s in dict.fromkeys(sources) if last[s] or near[s]]
+    back = [-1] * n
     while True:
-        came = {start: -1}
-        queue = deque([start])
-        while queue and end not in came:
-            a = queue.popleft()
-            for k in arcs[a]:
-                if room[k] and head[k] not in came:
-                    came[head[k]] = k
-                    queue.append(head[k])
-        if end not in came:
-            return [v for v in range(n) if 2 * v in came and 2 * v + 1 not in came]
-        at = end
-        while at != start:
-            k = came[at]
-            room[k] -= 1
-            room[k ^ 1] += 1
-            at = head[k ^ 1]
+        seen = bytearray(2 * n)
+        for s in starts:
+            seen[s] = 1
+        at = [0] * n
+        grown = False
+        for s in starts:
+            path = [s]
+            while path:
+                a = path[-1]
+                if a < n:
+                    p = back[a]
+                    b = a + n if p == -1 else p + n
+                    if p != -2 and not seen[b]:
+                        seen[b] = 1
+                        path.append(b)
+                    else:
+                        path.pop()
+                    continue
+                v = a - n
+                if last[v]:
+                    break
+                k, x = at[v], near[v]
+                while k < len(x) and seen[x[k]]:
+                    k += 1
+                at[v] = k
+                if k < len(x):
+                    b = x[k]
+                elif back[v] != -1 and not seen[v]:
+                    b = v
+                else:
+                    path.pop()
+                    continue
+                seen[b] = 1
+                path.append(b)
+            if path:
+                grown = True
+                back[s] = -2
+                for a, b in zip(path, path[1:], strict=False):
+                    if a >= n:
+                        back[b] = -1 if b == a - n else a - n
+        if not grown:
+            return [v for v in range(n) if seen[v] and not seen[v + n]]
 
 
 def _parts_without(adj: list[list[int]], cut: set[int]) -> list[list[int]]:
@@ -202,7 +229,7 @@ def _line_order(adj: list[list[int]], xy: np.ndarray | None, k: int) -> list[int
     n = len(adj)
     if xy is not None:
         d = ((1.0, 0.0), (0.0, 1.0), (1.0, 1.0), (1.0, -1.0))[k]
-        return sorted(range(n), key=lambda i: (xy[i, 0] * d[0] + xy[i, 1] * d[1], i))
+        return np.argsort(xy[:, 0] * d[0] + xy[:, 1] * d[1], kind="stable").tolist()
     start = 0
     order: list[int] = []
     for _ in range(2):

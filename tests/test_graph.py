@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -296,3 +297,18 @@ def test_stretches_on_a_line(spark):
     p = spark.createDataFrame([(i, 0.03 * i, 0.0) for i in range(6)], "id long, x double, y double")
     rows = {r.u: dict(zip(r.near, r.within, strict=True)) for r in disk.stretches(disk.DiskGraph(p, 0.07), 0.1, 1.5, ignore_edge=True).collect()}
     assert rows[0] == {1: False, 2: True, 3: True} and rows[4] == {5: False}
+
+
+def test_separator_of_a_large_triangulation():
+    """8,000 points: searches for one path at a time took many times as long."""
+    xy = np.random.default_rng(4).normal(0, 0.1, (8000, 2))
+    adj = [[] for _ in xy]
+    for a, b in Triangulation(xy[:, 0], xy[:, 1]).edges():
+        adj[a].append(int(b))
+        adj[b].append(int(a))
+    began = time.process_time()
+    cut = separator.inertial_separator(adj, xy)
+    took = time.process_time() - began
+    parts = separator._parts_without(adj, set(cut))
+    assert len(parts) > 1 and max(map(len, parts)) <= 0.67 * len(xy) and len(cut) < 4 * len(xy) ** 0.5
+    assert took < 4
