@@ -7,7 +7,7 @@ that is next to its component among the vertices ranked up to it.
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -267,30 +267,78 @@ def node_separator(g: Graph, imbalance: float = 0.33) -> DataFrame:
     return _by_part(g, connected_components(g), imbalance)
 
 
-def _by_part(g: Graph, parts: DataFrame, imbalance: float) -> DataFrame:
-    """(component, id): a separator of each part (id, component); one group a part."""
+WHOLE = 20_000  # parts of so many vertices at most are taken apart to the end by one task
+
+
+def _cut(adj: list[list[int]], xy: np.ndarray | None, imbalance: float) -> list[int]:
+    return inertial_separator(adj, xy, imbalance) if len(adj) > 2 else [0]
+
+
+def _recursion(adj: list[list[int]], xy: np.ndarray | None, least: int, imbalance: float) -> Iterator[tuple[tuple[int, ...], list[int], list[int] | None]]:
+    """(above, part, cut) of a connected part and of all that it falls into: the first vertices of the parts around it, its vertices and its separator, None where it has at most `least` vertices."""
+    stack: list[tuple[tuple[int, ...], list[int]]] = [((), list(range(len(adj))))]
+    while stack:
+        above, part = stack.pop()
+        if len(part) <= least:
+            yield above, part, None
+            continue
+        place = {v: i for i, v in enumerate(part)}
+        inner = [[place[w] for w in adj[v] if w in place] for v in part]
+        cut = _cut(inner, None if xy is None else xy[part], imbalance)
+        yield above, part, [part[i] for i in cut]
+        stack += [((*above, part[0]), [part[i] for i in p]) for p in _parts_without(inner, set(cut))]
+
+
+def _lists(g: Graph, parts: DataFrame) -> DataFrame:
+    """Rows of parts (id, component, ..) with their neighbours in the same part, and positions if there are any."""
     names = parts.select("id", "component")
     e = g.edges.select("src", "dst").join(names.select(F.col("id").alias("src"), "component"), "src").join(names.select(F.col("id").alias("dst"), F.col("component").alias("other")), "dst").where("component = other")
     lists = e.groupBy("component", F.col("src").alias("id")).agg(F.sort_array(F.collect_list("dst")).alias("near"))
     placed = "x" in g.vertices.columns
-    rows = names.join(lists, ["component", "id"], "left").join(g.vertices.select("id", *(("x", "y") if placed else ())), "id")
+    return parts.join(lists, ["component", "id"], "left").join(g.vertices.select("id", *(("x", "y") if placed else ())), "id")
+
+
+def _read(rows: pa.Table) -> tuple[pa.Table, list[int], list[list[int]], np.ndarray | None]:
+    """A part's rows by id, its ids, adjacency lists of places, and positions."""
+    rows = rows.sort_by("id")
+    ids = rows["id"].to_pylist()
+    place = {v: i for i, v in enumerate(ids)}
+    adj = [[place[w] for w in near or ()] for near in rows["near"].to_pylist()]
+    return rows, ids, adj, np.c_[rows["x"].to_numpy(), rows["y"].to_numpy()] if "x" in rows.column_names else None
+
+
+def _by_part(g: Graph, parts: DataFrame, imbalance: float) -> DataFrame:
+    """(component, id): a separator of each part (id, component); one group a part."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("id")
-        ids = rows["id"].to_pylist()
-        place = {v: i for i, v in enumerate(ids)}
-        adj = [[place[w] for w in near or ()] for near in rows["near"].to_pylist()]
-        xy = np.c_[rows["x"].to_numpy(), rows["y"].to_numpy()] if placed else None
-        cut = [ids[i] for i in inertial_separator(adj, xy, imbalance)] if len(ids) > 2 else ids[:1]
+        _, ids, adj, xy = _read(rows)
+        cut = [ids[i] for i in _cut(adj, xy, imbalance)]
         return pa.table({"component": pa.array([key[0].as_py()] * len(cut), pa.int64()), "id": pa.array(cut, pa.int64())})
 
-    return rows.groupBy("component").applyInArrow(run, "component long, id long")
+    return _lists(g, parts.select("id", "component")).groupBy("component").applyInArrow(run, "component long, id long")
+
+
+def _dissected(g: Graph, parts: DataFrame, leaf: int, imbalance: float) -> DataFrame:
+    """(id, key) of parts (id, component, path) taken apart to the end, one group a part."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows, ids, adj, xy = _read(rows)
+        degree, path = rows["degree"].to_pylist(), rows["path"][0].as_py()
+        found, keys = [], []
+        for above, part, cut in _recursion(adj, xy, leaf, imbalance):
+            at = [*path, *(k for v in above for k in (ids[v], 0)), ids[part[0]]]
+            found += [ids[v] for v in (part if cut is None else cut)]
+            keys += [[*at, 0, degree[v], ids[v]] for v in part] if cut is None else [[*at, 1, ids[v]] for v in cut]
+        return pa.table({"id": pa.array(found, pa.int64()), "key": pa.array(keys, pa.list_(pa.int64()))})
+
+    return _lists(g, parts).join(g.degrees(), "id").groupBy("component").applyInArrow(run, "id long, key array<long>")
 
 
-def nested_dissection(g: Graph, leaf: int = 50, imbalance: float = 0.33, max_rounds: int = 64) -> DataFrame:
+def nested_dissection(g: Graph, leaf: int = 50, imbalance: float = 0.33, max_rounds: int = 64, whole: int = WHOLE) -> DataFrame:
     """(node, rank): separators last, parts before them, recursively; parts of at most `leaf` by degree.
 
     Every round separates all parts at once, one group each, so parts run in parallel; only the first rounds have few.
+    Parts of at most `whole` vertices are taken apart to the end where they are, which gives the same order.
     """
     path = connected_components(g).select("id", "component", F.array().cast("array<long>").alias("path"))
     left, done = cut_plan(path), []
@@ -299,7 +347,9 @@ def nested_dissection(g: Graph, leaf: int = 50, imbalance: float = 0.33, max_rou
         small = left.join(sizes.where(F.col("n") <= leaf), "component")
         deg = g.degrees()
         done.append(small.join(deg, "id").select("id", F.concat("path", F.array("component", F.lit(0).cast("long"), F.col("degree").cast("long"), F.col("id"))).alias("key")))
-        big = cut_plan(left.join(sizes.where(F.col("n") > leaf).select("component"), "component", "left_semi").select("id", "component", "path"))
+        middle = left.join(sizes.where((F.col("n") > leaf) & (F.col("n") <= whole)).select("component"), "component", "left_semi")
+        done.append(cut_plan(_dissected(g, middle.select("id", "component", "path"), leaf, imbalance)))
+        big = cut_plan(left.join(sizes.where(F.col("n") > max(leaf, whole)).select("component"), "component", "left_semi").select("id", "component", "path"))
         if big.isEmpty():
             break
         part = g.induced(big.select("id"))

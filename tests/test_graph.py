@@ -299,6 +299,15 @@ def test_stretches_on_a_line(spark):
     assert rows[0] == {1: False, 2: True, 3: True} and rows[4] == {5: False}
 
 
+def test_parts_taken_apart_in_one_task(spark):
+    """The same order, separators and levels as by rounds over all parts."""
+    p = clumped(spark, 150, 9).dropDuplicates(["x", "y"]).localCheckpoint()
+    g = Graph.from_edges(proximity.delaunay_edges(p).localCheckpoint(), p)
+    g = Graph(g.vertices, g.edges.localCheckpoint())
+    by = [[tuple(r) for r in separator.nested_dissection(g, leaf=12, whole=w).orderBy("rank").collect()] for w in (0, 60, 1000)]
+    assert by[0] == by[1] == by[2] and len(by[0]) == p.count()
+
+
 def test_separator_of_a_large_triangulation():
     """8,000 points: searches for one path at a time took many times as long."""
     xy = np.random.default_rng(4).normal(0, 0.1, (8000, 2))
