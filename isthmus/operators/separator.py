@@ -334,6 +334,17 @@ def _dissected(g: Graph, parts: DataFrame, leaf: int, imbalance: float) -> DataF
     return _lists(g, parts).join(g.degrees(), "id").groupBy("component").applyInArrow(run, "id long, key array<long>")
 
 
+def _separated(g: Graph, parts: DataFrame, least: int, level: int, imbalance: float) -> DataFrame:
+    """(n, s, level) of parts (id, component) separated to the end, one group a part."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        _, _, adj, xy = _read(rows)
+        made = [(len(part), len(cut), level + len(above)) for above, part, cut in _recursion(adj, xy, least, imbalance) if cut is not None]
+        return pa.table({c: pa.array([m[k] for m in made], kind) for k, (c, kind) in enumerate((("n", pa.int64()), ("s", pa.int64()), ("level", pa.int32())))})
+
+    return _lists(g, parts.select("id", "component")).groupBy("component").applyInArrow(run, "n long, s long, level int")
+
+
 def nested_dissection(g: Graph, leaf: int = 50, imbalance: float = 0.33, max_rounds: int = 64, whole: int = WHOLE) -> DataFrame:
     """(node, rank): separators last, parts before them, recursively; parts of at most `leaf` by degree.
 
@@ -365,9 +376,11 @@ def nested_dissection(g: Graph, leaf: int = 50, imbalance: float = 0.33, max_rou
     return ranked.select(F.col("id").alias("node"), "rank")
 
 
-def separate_recursively(g: Graph, least: int = 100, follow: str = "all", most: int | None = None, imbalance: float = 0.33) -> DataFrame:
+def separate_recursively(g: Graph, least: int = 100, follow: str = "all", most: int | None = None, imbalance: float = 0.33, whole: int = WHOLE) -> DataFrame:
     """(n, s, level): sizes of parts of more than `least` vertices and of their separators, level by level.
 
+    If all parts are followed, those of at most `whole` vertices are separated to the end where they are.
+
     follow: 'all' parts of a level, its 'largest' one, or its 'first' one (that with the smallest id). With most, parts
     wait in a queue, those of one part by their smallest ids, and the first so many are separated.
     """
@@ -379,6 +392,10 @@ def separate_recursively(g: Graph, least: int = 100, follow: str = "all", most:
             sizes = sizes.orderBy(*([F.desc("n")] if follow == "largest" else []), "component").limit(1)
         if most is not None:
             sizes = sizes.orderBy("turn", "component").limit(most - seen)
+        if follow == "all" and most is None:
+            middle = sizes.where(F.col("n") <= whole).select("component")
+            out.append(cut_plan(_separated(g, parts.join(middle, "component", "left_semi"), least, level, imbalance)))
+            sizes = sizes.where(F.col("n") > whole)
         sizes = cut_plan(sizes)
         k = sizes.count()
         if not k:

@@ -306,6 +306,8 @@ def test_parts_taken_apart_in_one_task(spark):
     g = Graph(g.vertices, g.edges.localCheckpoint())
     by = [[tuple(r) for r in separator.nested_dissection(g, leaf=12, whole=w).orderBy("rank").collect()] for w in (0, 60, 1000)]
     assert by[0] == by[1] == by[2] and len(by[0]) == p.count()
+    by = [sorted(tuple(r) for r in separator.separate_recursively(g, 20, whole=w).collect()) for w in (0, 60, 1000)]
+    assert by[0] == by[1] == by[2] and len(by[0]) > 3
 
 
 def test_separator_of_a_large_triangulation():
