@@ -187,7 +187,7 @@ def histogram_file(spark, d):
 @query(Q.UD.format(r=0.05) + " SELECT count(*) AS cnt, round(sum(w), 4) AS total, round(max(w), 6) AS longest FROM e")
 def edge_length_dump(spark, d):
     at = place(spark)
-    formats.write_edge_lengths(ud(spark, d, 0.05), at)
+    formats.write_edge_lengths(disks(spark, d, 0.05), at)
     return formats.read_vector(spark, at).agg(F.count(F.lit(1)).alias("cnt"), F.round(F.sum("value"), 4).alias("total"), F.round(F.max("value"), 6).alias("longest"))
 
 

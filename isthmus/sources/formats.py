@@ -18,9 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graph import Graph, numbered
+from ..operators.disk import DiskGraph
+from ..operators.graph import Graph, numbered, running
 from ..operators.traverse import multi_sssp
-from ..runtime import cut_plan
+from ..runtime import checkpoint_dir, cut_plan
 
 # text
 
@@ -224,8 +225,40 @@ def write_histogram(hist: DataFrame, path: str) -> None:
     _write_lines(hist.sparkSession, path, [" ".join(map(repr, edges)), " ".join(str(r.cnt) for r in rows)])
 
 
+def _write_parts(df: DataFrame, path: str) -> None:
+    """A string column's lines as one file: tasks write their parts in order, which are moved behind one another in the JVM."""
+    spark, jvm = df.sparkSession, df.sparkSession._jvm
+    at = f"{checkpoint_dir(spark)}/parts-{uuid.uuid4().hex}"
+    df.write.text(at)
+    conf = spark._jsc.hadoopConfiguration()
+    folder, to = jvm.org.apache.hadoop.fs.Path(at), jvm.org.apache.hadoop.fs.Path(path)
+    parts, fs = folder.getFileSystem(conf), to.getFileSystem(conf)
+    whole = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
+    fs.setWriteChecksum(False)
+    stream = fs.create(whole, True)
+    for name in sorted(f.getPath().getName() for f in parts.listStatus(folder) if f.getPath().getName().startswith("part-")):
+        part = jvm.org.apache.hadoop.fs.Path(f"{at}/{name}")
+        data = parts.open(part)
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(data, stream, 1 << 20, False)
+        data.close()
+        parts.delete(part, False)
+    stream.close()
+    parts.delete(folder, True)
+    fs.delete(to, False)
+    fs.rename(whole, to)
+
+
+def _as_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(len(batch)):
+            yield pa.RecordBatch.from_pydict({"value": ["\n".join(map(repr, batch["w"][k].values.to_numpy().tolist()))]})
+
+
 def write_edge_lengths(g: Graph, path: str) -> None:
     """One length a line for each directed edge."""
+    if isinstance(g, DiskGraph):
+        _write_parts(g.lists().select("id", "w").orderBy("id").select("w").mapInArrow(_as_lines, "value string"), path)
+        return
     _write_lines(g.vertices.sparkSession, path, (repr(r.w) for r in _in_order(g.edge_lengths(canonical=False), "src", "dst")))
 
 

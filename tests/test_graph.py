@@ -323,3 +323,13 @@ def test_separator_of_a_large_triangulation():
     parts = separator._parts_without(adj, set(cut))
     assert len(parts) > 1 and max(map(len, parts)) <= 0.67 * len(xy) and len(cut) < 4 * len(xy) ** 0.5
     assert took < 4
+
+
+def test_edge_lengths_of_disks(spark, tmp_path):
+    """The same file, copies of points among them, as by rows of stored edges."""
+    p = clumped(spark, 100, 11).localCheckpoint()
+    g = Graph.from_edges(proximity.unit_disk_edges(p, 0.1), p)
+    formats.write_edge_lengths(g, str(tmp_path / "a"))
+    formats.write_edge_lengths(disk.DiskGraph(p, 0.1), str(tmp_path / "b"))
+    assert (tmp_path / "a").read_text() == (tmp_path / "b").read_text() != ""
+    assert {r.id: r.degree for r in g.degrees().collect()} == {r.id: r.degree for r in disk.DiskGraph(p, 0.1).degrees().collect()}
