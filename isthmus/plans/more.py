@@ -78,7 +78,7 @@ def csr_geometric_round_trip(spark, d):
 @query(Q.UD.format(r=0.05) + ", ids AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM pt) SELECT a.k AS src, b.k AS dst FROM ud JOIN ids a ON a.id = src JOIN ids b ON b.id = dst")
 def csr_geometric_edges(spark, d):
     at = place(spark)
-    formats.write_csr(ud(spark, d, 0.05), at)
+    formats.write_csr(disks(spark, d, 0.05), at)
     return formats.read_csr(spark, at, positions=True).canonical()
 
 

@@ -281,41 +281,101 @@ def read_binary_vector(spark: SparkSession, path: str, kind: str = "I") -> DataF
     if size % width:
         raise ValueError(f"{path}: {size} bytes are no whole number of {width}-byte values")
     n = size // width
-    each = next((k for k in range(min(4096, n), 0, -1) if n % k == 0), 1)
     out = pa.schema([("pos", pa.int64()), ("value", pa.float64() if kind in "fd" else pa.int64())])
-    code = np.dtype({"I": "<u4", "i": "<i4", "f": "<f4", "d": "<f8", "Q": "<u8"}[kind])
+    code = np.dtype(CODES[kind])
+    if not n:
+        return spark.createDataFrame([], f"pos long, value {'double' if kind in 'fd' else 'long'}")
+    records, each = _records(spark, path, width, n)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch["at"].to_numpy()
             values = np.frombuffer(b"".join(batch["raw"].to_pylist()), code).astype(out.field("value").type.to_pandas_dtype())
-            yield pa.RecordBatch.from_arrays([pa.array((at[:, None] * each + np.arange(each)).ravel()), pa.array(values)], schema=out)
+            pos = (at[:, None] * each + np.arange(each)).ravel()
+            there = pos < n
+            yield pa.RecordBatch.from_arrays([pa.array(pos[there]), pa.array(values[there])], schema=out)
 
-    if not n:
-        return spark.createDataFrame([], f"pos long, value {'double' if kind in 'fd' else 'long'}")
+    return records.mapInArrow(decode, f"pos long, value {'double' if kind in 'fd' else 'long'}")
+
+
+CODES = {"I": "<u4", "i": "<i4", "f": "<f4", "d": "<f8", "Q": "<u8"}
+
+
+def _records(spark: SparkSession, path: str, width: int, n: int) -> tuple[DataFrame, int]:
+    """(at, raw): records of as many values as the second result says, numbered. If no good number divides n, a copy is read that zeros fill up to one."""
+    each = next(k for k in range(min(4096, n), 0, -1) if n % k == 0)
+    if each < 256 and n > 4096:
+        each = 4096
+        jvm, conf, copy = spark._jvm, spark._jsc.hadoopConfiguration(), f"{checkpoint_dir(spark)}/vector-{uuid.uuid4().hex}"
+        old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(copy)
+        fs = old.getFileSystem(conf)
+        stream, data = new.getFileSystem(conf).create(new, True), fs.open(next(f.getPath() for f in fs.listStatus(old)))
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(data, stream, 1 << 20, False)
+        data.close()
+        stream.write(bytearray(width * (-n % each)))
+        stream.close()
+        path = copy
     records = spark.sparkContext.binaryRecords(path, width * each).zipWithIndex().map(lambda r: (r[1], bytearray(r[0])))
-    return spark.createDataFrame(records, "at long, raw binary").mapInArrow(decode, f"pos long, value {'double' if kind in 'fd' else 'long'}")
+    return spark.createDataFrame(records, "at long, raw binary"), each
+
+
+def _owned(spark: SparkSession, path: str, ranges: DataFrame, m: int) -> DataFrame:
+    """(src, dst), each once: the m heads with the vertices whose ranges (pos, value, end) hold them."""
+    size = spark.read.format("binaryFile").option("pathGlobFilter", "*").load(path).select("length").first()[0]
+    if size < 4 * m:
+        raise ValueError(f"{path}: {size} bytes are too few for {m} heads")
+    records, each = _records(spark, path, 4, size // 4)
+    parts = ranges.withColumn("at", F.explode(F.sequence(F.expr(f"value div {each}"), F.expr(f"(end - 1) div {each}"))))
+    near = parts.groupBy("at").agg(F.array_sort(F.collect_list(F.struct("value", "end", "pos"))).alias("ranges"))
+    both = records.join(near, "at")
+
+    def spread(row: dict) -> tuple[np.ndarray, np.ndarray]:
+        heads = np.frombuffer(row["raw"], "<u4").astype(np.int64)
+        lo = row["at"] * each
+        start = np.array([max(r["value"], lo) - lo for r in row["ranges"]], np.int64)
+        end = np.array([min(r["end"], lo + each) - lo for r in row["ranges"]], np.int64)
+        src = np.repeat(np.array([r["pos"] for r in row["ranges"]], np.int64), end - start)
+        return src, np.concatenate([heads[a:b] for a, b in zip(start, end, strict=True)])
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                src, dst = spread(batch.slice(k, 1).to_pylist()[0])
+                yield pa.RecordBatch.from_pydict({"src": src, "dst": dst})
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                row = batch.slice(k, 1).to_pylist()[0]
+                src, dst = spread(row)
+                grows = bool(((src[1:] != src[:-1]) | (dst[1:] > dst[:-1])).all())
+                yield pa.RecordBatch.from_pydict({"at": [row["at"]], "s": src[:1], "d": dst[:1], "s2": src[-1:], "d2": dst[-1:], "grows": [grows]})
+
+    seen = cut_plan(both.mapInArrow(ends, "at long, s long, d long, s2 long, d2 long, grows boolean"))
+    after = seen.select((F.col("at") - 1).alias("at"), F.col("s").alias("s3"), F.col("d").alias("d3"))
+    repeats = seen.join(after, "at", "left").where("NOT grows OR (s2 = s3 AND d3 <= d2)")
+    edges = both.mapInArrow(decode, "src long, dst long")
+    return edges if repeats.isEmpty() else edges.distinct()
 
 
 def read_csr(spark: SparkSession, path: str, directed: bool = False, positions: bool = False, axis_order: str = "latlon") -> Graph:
     """Folder with first_out (n + 1 offsets) and head, and with positions also latitude and longitude.
 
-    A head at position p belongs to the vertex whose range of offsets holds p; offsets are spread to their heads by their
-    ranges, so the join is on positions.
+    A head at position p belongs to the vertex whose range of offsets holds p. Records of heads meet the ranges that they
+    overlap, and repeated edges go unless all heads of each vertex increase, so that there are none.
     """
     first = cut_plan(read_binary_vector(spark, f"{path}/first_out"))
-    head = read_binary_vector(spark, f"{path}/head")
     following = first.select((F.col("pos") - 1).alias("pos"), F.col("value").alias("end"))
     ranges = first.join(following, "pos").where("value < end")
-    owners = ranges.select(F.col("pos").alias("src"), F.explode(F.sequence("value", F.col("end") - 1)).alias("pos"))
-    edges = owners.join(head, "pos").select("src", F.col("value").alias("dst"))
+    m = first.agg(F.max("value")).first()[0] or 0
+    edges = _owned(spark, f"{path}/head", ranges, m) if m else spark.createDataFrame([], "src long, dst long")
     n = first.agg(F.max("pos")).first()[0]
     vertices = spark.range(n)
     if positions:
         lat, lon = (read_binary_vector(spark, f"{path}/{c}", "f").toDF("id", c) for c in ("latitude", "longitude"))
         x, y = ("latitude", "longitude") if axis_order == "latlon" else ("longitude", "latitude")
         vertices = lat.join(lon, "id").select("id", F.col(x).alias("x"), F.col(y).alias("y"))
-    return Graph(vertices, edges.distinct(), directed)
+    return Graph(vertices, edges, directed)
 
 
 def _write_binary(spark: SparkSession, path: str, kind: str, values: Iterable) -> None:
@@ -334,11 +394,21 @@ def write_csr(g: Graph, path: str) -> None:
     """first_out and head as 32-bit numbers, and latitude (x) and longitude (y) as 32-bit floats if there are positions."""
     spark = g.vertices.sparkSession
     h, _ = g.reindex()
-    h = Graph(cut_plan(h.vertices), cut_plan(h.edges), h.directed)
-    offsets = h.csr_offsets()
-    total = h.edges.count()
+    if isinstance(h, DiskGraph):
+        h = DiskGraph(cut_plan(h.vertices), h.radius)
+        degrees = cut_plan(h.degrees())
+        offsets = running(degrees, ["id"], "degree", "first_out", inclusive=False)
+        total = degrees.agg(F.sum("degree")).first()[0] or 0
+        heads = (bytes(r.heads) for r in _in_order(h.lists().select("id", "heads"), "id"))
+        with _file(spark, f"{path}/head") as write:
+            for x in heads:
+                write(x)
+    else:
+        h = Graph(cut_plan(h.vertices), cut_plan(h.edges), h.directed)
+        offsets = h.csr_offsets()
+        total = h.edges.count()
+        _write_binary(spark, f"{path}/head", "i", (r.dst for r in _in_order(h.edges.select("src", "dst"), "src", "dst")))
     _write_binary(spark, f"{path}/first_out", "i", chain((r.first_out for r in _in_order(offsets, "id")), [total]))
-    _write_binary(spark, f"{path}/head", "i", (r.dst for r in _in_order(h.edges.select("src", "dst"), "src", "dst")))
     if "x" in h.vertices.columns:
         for c, name in (("x", "latitude"), ("y", "longitude")):
             _write_binary(spark, f"{path}/{name}", "f", (r[1] for r in _in_order(h.vertices.select("id", c), "id")))

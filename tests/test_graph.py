@@ -333,3 +333,25 @@ def test_edge_lengths_of_disks(spark, tmp_path):
     formats.write_edge_lengths(disk.DiskGraph(p, 0.1), str(tmp_path / "b"))
     assert (tmp_path / "a").read_text() == (tmp_path / "b").read_text() != ""
     assert {r.id: r.degree for r in g.degrees().collect()} == {r.id: r.degree for r in disk.DiskGraph(p, 0.1).degrees().collect()}
+
+
+def test_csr_of_disks(spark, tmp_path):
+    """The same files as by stored edges, and the same edges read back."""
+    p = clumped(spark, 100, 13).withColumn("id", F.col("id") * 3 + 1).localCheckpoint()
+    g = Graph.from_edges(proximity.unit_disk_edges(p, 0.1), p)
+    formats.write_csr(g, str(tmp_path / "a"))
+    formats.write_csr(disk.DiskGraph(p, 0.1), str(tmp_path / "b"))
+    for name in ("first_out", "head", "latitude", "longitude"):
+        assert (tmp_path / "a" / name).read_bytes() == (tmp_path / "b" / name).read_bytes() != b""
+    assert edges(formats.read_csr(spark, str(tmp_path / "b")).edges) == edges(g.reindex()[0].edges)
+
+
+def test_csr_records(spark, tmp_path):
+    """Numbers of heads that nothing divides, vertices over several records, and repeated edges."""
+    heads = np.r_[np.arange(9000), [5, 5, 3], np.arange(1004)].astype("<u4")  # 10,007 is prime
+    heads.tofile(tmp_path / "head")
+    np.array([0, 0, 9000, 9003, 9003, 10007], "<u4").tofile(tmp_path / "first_out")
+    assert formats._records(spark, str(tmp_path / "head"), 4, 10007)[1] >= 256
+    assert [r.value for r in formats.read_binary_vector(spark, str(tmp_path / "head")).orderBy("pos").collect()] == heads.tolist()
+    rows = [tuple(r) for r in formats.read_csr(spark, str(tmp_path)).edges.collect()]
+    assert sorted(rows) == [(1, i) for i in range(9000)] + [(2, 3), (2, 5)] + [(4, i) for i in range(1004)]
